@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronolane.operators.ordered import kept_partitions, ordered_partitions
+from chronolane.operators.ordered import kept_partitions, ordered_partitions, partition_count
 from chronolane.session import written
 
 # Possible range of each field, and whether an unchanged value is suspicious.
@@ -26,6 +26,7 @@ STUCK_ROWS = 25
 LONGEST = 3
 TIMES_MEDIAN = 10.0
 HALF = 5  # half-width of the rolling window: 11 readings
+BROADCAST_SOURCES = 200_000  # medians of more sources (about 60 bytes each) are joined by shuffling the flags instead
 EDGE = 32  # readings passed on at each partition edge, more than STUCK_ROWS + HALF
 
 SCAN = "kind string, part int, field string, vin string, ts bigint, pos bigint, v double, margin double, n bigint"
@@ -51,7 +52,7 @@ def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, list[str]
     if isinstance(names, pa.ChunkedArray):
         names = names.combine_chunks()
     codes = names.indices.to_numpy(zero_copy_only=False)
-    fields = {f: t[f].to_numpy() for f in BOUNDS}  # nulls come as NaN: neither is a reading
+    fields = {c: t[c].to_numpy() for c in t.column_names if c not in ("vin", "ts")}  # nulls come as NaN: neither is a reading
     return codes, names.dictionary.to_pylist(), t["ts"].to_numpy(), fields
 
 
@@ -85,8 +86,8 @@ def scan_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     codes, names, ts, fields = data
     vins = np.array(names, object)
-    for field, values in fields.items():
-        c, t, v, good = _readings(codes, ts, values, BOUNDS[field])
+    for field in BOUNDS:
+        c, t, v, good = _readings(codes, ts, fields[field], BOUNDS[field])
         gc, gv = c[good], v[good]
         if len(gc) > 1:
             d = np.abs(np.diff(gv))
@@ -126,7 +127,8 @@ def excursions(v: np.ndarray, half: int = HALF, outlying: float = 1.0) -> np.nda
     """Largest margin by which each reading belongs to an excursion of one to three readings; 0 if to none.
 
     Hampel screen: a reading takes part only if it lies further from its rolling median than ``outlying`` median absolute
-    deviations - a loose screen, as the exact check on the margin follows. The margin of an excursion is the least distance of
+    deviations - a loose screen, as the exact check on the margin follows. So ordinary readings caught between two close
+    excursions are not taken for one: the rolling median is the course. The margin of an excursion is the least distance of
     any of its readings to the reading before and to the one after it; an excursion needs both.
     """
     n = len(v)
@@ -158,12 +160,15 @@ def stuck(v: np.ndarray, rows: int = STUCK_ROWS) -> np.ndarray:
 
 
 def _segments(codes: np.ndarray) -> list[tuple[int, int]]:
-    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.array([], int)
-    return list(zip(starts.tolist(), np.r_[starts[1:], len(codes)].astype(int).tolist(), strict=True))
+    """Start and end of each stretch of one source."""
+    bounds = np.r_[0, np.flatnonzero(codes[1:] != codes[:-1]) + 1, len(codes)].tolist()
+    return list(zip(bounds[:-1], bounds[1:], strict=True)) if len(codes) else []
 
 
 def scan_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition: impossible readings, stuck readings, and readings of possible excursions with their margins.
+    """Per partition: impossible readings, stuck readings, and readings of excursions with their margins.
+
+    Columns ``_field`` hold the source's median change: it is checked here if it could be broadcast, else (0) afterwards.
 
     Near a partition edge a window may lack its neighbours; those readings are left to the seams.
     """
@@ -175,8 +180,9 @@ def scan_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     codes, names, ts, fields = data
     vins = np.array(names, object)
-    for field, values in fields.items():
-        c, t, v, good = _readings(codes, ts, values, BOUNDS[field])
+    heads = dict(reversed([(codes[a], a) for a, _ in _segments(codes)]))
+    for field in BOUNDS:
+        c, t, v, good = _readings(codes, ts, fields[field], BOUNDS[field])
         if not len(c):
             continue
         bad = ~good
@@ -194,7 +200,8 @@ def scan_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 margin[: HALF + LONGEST] = 0
             if gc[a] == codes[-1]:
                 margin[-(HALF + LONGEST) :] = 0
-            hit = np.flatnonzero(margin > 0)
+            with np.errstate(invalid="ignore"):
+                hit = np.flatnonzero(margin > TIMES_MEDIAN * fields[f"_{field}"][heads[gc[a]]])  # a median of 0: not known yet
             if len(hit):
                 yield _out(kind="excursion", part=part, field=field, vin=vins[gc[a + hit]], ts=gt[a + hit], v=gv[a + hit], margin=margin[hit])
 
@@ -256,14 +263,24 @@ def implausible(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     fields = list(BOUNDS)
     clean = [F.when(F.isnan(f), None).otherwise(F.col(f)).alias(f) for f in fields]
     distinct = rows.where(F.col("vin").isNotNull() & F.col("ts").isNotNull()).select("vin", F.col("ts").cast("bigint").alias("ts"), *clean).distinct()
-    ordered = kept_partitions(ordered_partitions(distinct, "vin", "ts", *fields, partitions=partitions))
+    parts = partitions or partition_count(rows)  # of a Parquet table, from its footers
+    ordered = kept_partitions(ordered_partitions(distinct, "vin", "ts", *fields, partitions=parts))
     first = written(ordered.mapInArrow(scan_changes, SCAN), "changes")
-    medians = median_changes(first.where("kind = 'change'"))
+    course = Window.partitionBy("vin", "field").orderBy("part", "pos")  # a bounded number of rows per partition
+    step = F.when(F.lag("part").over(course) != F.col("part"), F.abs(F.col("v") - F.lag("v").over(course)))
+    across = first.where("kind = 'course'").withColumn("v", step).where("v > 0").select("vin", "field", "v", F.lit(1).cast("bigint").alias("n"))
+    changes = first.where("kind = 'change'").select("vin", "field", "v", "n").unionByName(across)
+    medians = written(median_changes(changes), "medians")
     edges = first.where("kind in ('edge', 'course')")
     # a partition passes on a bounded number of readings of two sources; sources within one partition have nothing to settle
     crossing = edges.groupBy("vin", "field").agg(F.min("part").alias("a"), F.max("part").alias("b"))
     seams = edges.join(crossing, ["vin", "field"]).drop("a", "b").groupBy("vin", "field").applyInPandas(seam_flags, SCAN)
-    found = written(ordered.mapInArrow(scan_flags, SCAN).unionByName(seams).select("kind", "vin", "ts", "field", "v", "margin"), "flags")
+    wide = medians.groupBy("vin").agg(*[F.max(F.when(F.col("field") == f, F.col("median"))).alias(f"_{f}") for f in fields])
+    if wide.count() <= BROADCAST_SOURCES:
+        judged = ordered.join(F.broadcast(wide), "vin", "left")  # keeps partitions and their order
+    else:
+        judged = ordered.withColumns({f"_{f}": F.lit(0.0) for f in fields})
+    found = written(judged.mapInArrow(scan_flags, SCAN).unionByName(seams).select("kind", "vin", "ts", "field", "v", "margin"), "flags")
     spikes = found.where("kind = 'excursion'").join(medians, ["vin", "field"]).where(F.col("margin") > TIMES_MEDIAN * F.col("median"))
     both = spikes.drop("median").unionByName(found.where("kind <> 'excursion'"))
     return both.select("vin", "ts", "field", "v", F.col("kind").alias("reason")).distinct()
