@@ -37,8 +37,10 @@ def daily_amounts(rows: DataFrame, arrival: str | None = None, cutoff: Column |
     are doubles beyond 1e31. With ``cutoff`` there is also ``was``: the amounts of rows that first arrived by then.
     """
     keyed = rows.where(F.col("vin").isNotNull() & F.col("ts").isNotNull())
-    rest = [c for c in rows.columns if c != arrival]
-    distinct = keyed.groupBy(*rest).agg(F.min(arrival).alias("_first")) if arrival else keyed.select(*rest).distinct().withColumn("_first", F.lit(None))
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != arrival]).alias("_row")
+    came = F.col(arrival) if arrival else F.lit(None).cast("timestamp_ntz")
+    distinct = keyed.select(whole, came.alias("_came")).groupBy("_row").agg(F.min("_came").alias("_first"))
+    distinct = distinct.select("_first", *[F.col(f"_row.{c}") for c in ("vin", "ts", *MEASURES)])
     day = ((F.col("ts") - F.pmod("ts", F.lit(DAY_MS))) / DAY_MS).cast("int").alias("day_no")
     cells = [F.col(m).cast("bigint").alias(m) if k == "bigint" else finite(F.col(m)).try_cast(k).alias(m) for m, k in MEASURES.items()]
     known = F.lit(True) if cutoff is None else F.coalesce(F.col("_first") <= cutoff, F.lit(True))
@@ -125,7 +127,7 @@ def rolling_totals(rows: DataFrame, arrival: str | None = None, lateness_days: i
     if arrival:
         newest = rows.agg(F.max(arrival).alias("t")).first().t
         cutoff = None if newest is None else F.lit(newest) - F.expr(f"interval {lateness_days} days")
-    daily = written(daily_amounts(rows.select("vin", "ts", *MEASURES, *[c for c in rows.columns if c not in ("vin", "ts", *MEASURES)]), arrival, cutoff), "daily")
+    daily = written(daily_amounts(rows, arrival, cutoff), "daily")
     if cutoff is None:
         state = backfill(daily)
     else:

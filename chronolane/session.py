@@ -36,9 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/chronolane-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder for a table that cuts lineage."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for a table that cuts lineage; all of an application's lie in one folder."""
+    return f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the application's scratch tables; results that were not yet computed or written need them."""
+    from chronolane.sources import files
+
+    files.delete(spark, scratch_root(spark))
 
 
 def written(df, what: str, *, partition_by: tuple[str, ...] = ()):
