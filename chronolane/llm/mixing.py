@@ -28,7 +28,7 @@ def tilted(shares: dict[str, float], tilt: float = TILT) -> dict[str, list[float
     """
     names = sorted(shares, key=lambda s: (-shares[s], s))
     place = {s: 1 - 2 * i / max(1, len(names) - 1) for i, s in enumerate(names)}
-    mean = sum(shares[s] * place[s] for s in names) / sum(shares.values())
+    mean = sum(shares[s] * place[s] for s in names) / (sum(shares.values()) or 1)
     return {s: [shares[s] * (1 + tilt * (place[s] - mean)), shares[s] * (1 - tilt * (place[s] - mean))] for s in names}
 
 

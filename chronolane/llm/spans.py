@@ -108,35 +108,47 @@ def scan_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def scan_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text, the content keys of its paths: (rep, pos, len, key1, key2)."""
-    for b in batches:
-        out: list[tuple[np.ndarray, ...]] = []
-        for rep, text, at, lens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            points = _points(text)
-            pos, length = np.array(at, np.int64), np.array(lens, np.int64)
-            long = length >= MIN_SPAN
-            keys = []
-            for p, n in zip(pos[long].tolist(), length[long].tolist(), strict=True):
-                d = hashlib.blake2b(points[p : p + n].tobytes(), digest_size=16).digest()
-                keys.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-            if keys:
-                k = np.array(keys, np.int64)
-                out.append((np.full(len(k), rep, np.int64), pos[long], length[long], k[:, 0], k[:, 1]))
-            a = np.maximum(pos[~long] + length[~long] - MIN_SPAN, 0)
-            z = np.minimum(pos[~long], len(points) - MIN_SPAN)
-            ok = z >= a
-            if ok.any():
-                # every window start in the union of the ranges a .. z
-                mark = np.zeros(len(points) + 2, np.int64)
-                np.add.at(mark, a[ok], 1)
-                np.add.at(mark, z[ok] + 1, -1)
-                w = np.flatnonzero(np.cumsum(mark)[: len(points) - MIN_SPAN + 1] > 0)
-                one, two = window_hashes(points, MIN_SPAN, 0)[w], window_hashes(points, MIN_SPAN, 1)[w]
-                out.append((np.full(len(w), rep, np.int64), w, np.full(len(w), MIN_SPAN, np.int64), one.view(np.int64), two.view(np.int64)))
-        if out:
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], names=["rep", "pos", "len", "key1", "key2"])
+def _span_scan(edges: bool):
+    """Of each text, the content keys of its paths: (rep, pos, len, key1, key2).
+
+    A path of at least MIN_SPAN gives one key. A shorter one gives every MIN_SPAN window that holds it whole: enough to find
+    each pair. With ``edges`` there are also all windows that hold the first or the last k-mer of a path, long or short: enough
+    to cover each shared character.
+    """
+
+    def windows(pos: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        long = length >= MIN_SPAN
+        if not edges:
+            return (pos + length - MIN_SPAN)[~long], pos[~long]
+        firsts, lasts = np.r_[pos + GRAM - MIN_SPAN, pos + length - MIN_SPAN], np.r_[pos, pos + length - GRAM]
+        return firsts, lasts
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for rep, text, at, lens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                points = _points(text)
+                pos, length = np.array(at, np.int64), np.array(lens, np.int64)
+                long = length >= MIN_SPAN
+                if long.any():
+                    made = [hashlib.blake2b(points[p : p + n].tobytes(), digest_size=16).digest() for p, n in zip(pos[long].tolist(), length[long].tolist(), strict=True)]
+                    k = np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+                    out.append((np.full(len(k), rep, np.int64), pos[long], length[long], k[:, 0], k[:, 1]))
+                a, z = windows(pos, length)
+                a, z = np.maximum(a, 0), np.minimum(z, len(points) - MIN_SPAN)
+                ok = z >= a
+                if ok.any():
+                    mark = np.zeros(len(points) + 2, np.int64)  # every window start in the union of the ranges a .. z
+                    np.add.at(mark, a[ok], 1)
+                    np.add.at(mark, z[ok] + 1, -1)
+                    w = np.flatnonzero(np.cumsum(mark)[: len(points) - MIN_SPAN + 1] > 0)
+                    one, two = window_hashes(points, MIN_SPAN, 0)[w], window_hashes(points, MIN_SPAN, 1)[w]
+                    out.append((np.full(len(w), rep, np.int64), w, np.full(len(w), MIN_SPAN, np.int64), one.view(np.int64), two.view(np.int64)))
+            if out:
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], names=["rep", "pos", "len", "key1", "key2"])
+
+    return scan
 
 
 def text_classes(rows: DataFrame) -> DataFrame:
@@ -169,13 +181,13 @@ def compacted_paths(kmers: DataFrame) -> DataFrame:
     return ends.select("rep", "pos", (F.col("_last") - F.col("pos") + GRAM).cast("int").alias("len"))
 
 
-def shared_keys(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def shared_keys(rows: DataFrame, classes: DataFrame, edges: bool) -> DataFrame:
     """(rep, pos, len, key1, key2): verified spans that occur in several different texts."""
     texts = rows.select(F.col("doc_id").alias("rep"), "text").join(classes.where("doc_id = rep").select("rep"), "rep")
     kmers = written(texts.mapInArrow(scan_kmers, "rep bigint, pos int, h bigint"), "kmers")
     walks = compacted_paths(kmers).groupBy("rep").agg(F.collect_list(F.struct("pos", "len")).alias("w"))  # of one text
     walks = walks.select("rep", F.col("w.pos").alias("at"), F.col("w.len").alias("lens"))
-    spans = texts.join(walks, "rep").select("rep", "text", "at", "lens").mapInArrow(scan_spans, "rep bigint, pos int, len int, key1 bigint, key2 bigint")
+    spans = texts.join(walks, "rep").select("rep", "text", "at", "lens").mapInArrow(_span_scan(edges), "rep bigint, pos int, len int, key1 bigint, key2 bigint")
     spans = written(spans, "spans")
     several = spans.groupBy("key1", "key2").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("key1", "key2")
     return written(spans.join(several, ["key1", "key2"]), "shared")
@@ -196,7 +208,7 @@ def sharing_pairs(rows: DataFrame) -> DataFrame:
     """
     texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     classes = text_classes(texts)
-    members = shared_keys(texts, classes).select("key1", "key2", "rep").distinct()
+    members = shared_keys(texts, classes, edges=False).select("key1", "key2", "rep").distinct()
     sets = members.groupBy("key1", "key2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
     one = sets.groupBy("n", "x", "y").agg(F.min(F.struct("key1", "key2")).alias("k")).select("k.key1", "k.key2")
     between = _pairs(members.join(one, ["key1", "key2"]), ["key1", "key2"]).distinct()
@@ -214,7 +226,7 @@ def shared_passages(rows: DataFrame) -> DataFrame:
     """
     texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     classes = text_classes(texts)
-    spans = shared_keys(texts, classes).select("rep", F.col("pos").alias("a"), (F.col("pos") + F.col("len")).alias("b")).distinct()
+    spans = shared_keys(texts, classes, edges=True).select("rep", F.col("pos").alias("a"), (F.col("pos") + F.col("len")).alias("b")).distinct()
     order = Window.partitionBy("rep").orderBy("a", "b")  # of one text
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     cut = spans.withColumn("_new", F.when(F.col("a") <= reach, 0).otherwise(1)).withColumn("_no", F.sum("_new").over(order))
