@@ -7,6 +7,8 @@ spread over its blocks and nothing is gathered or broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from chronolane.operators.sessions import arrival_slices
 from chronolane.session import scratch_path
 from chronolane.sources import files
 
-BLOCKS = 1 << 20
+BLOCKS = 1 << 20  # of a store whose size isn't known beforehand
+PER_WORD = 8  # identifiers per 64-bit word of the fullest bucket: about 2 % false positives
 ORDER = ("recv_at", "batch_id", "batch_pos")
 KEY = "_bucket int, _vin string, ts bigint"
 LOG = f"{KEY}, _rank struct<recv_at: timestamp_ntz, batch_id: bigint, batch_pos: int, row_id: bigint>"
@@ -108,9 +111,20 @@ class MessageStore:
         return drops
 
 
-def repeated_rows(rows: DataFrame, slices: int = 2, blocks: int = BLOCKS) -> DataFrame:
-    """``row_id`` of each row of a whole table to drop, by ingesting it in ``slices`` of arrival time."""
+def blocks_for(rows: DataFrame) -> int:
+    """Blocks per time bucket, a power of two, so that the fullest bucket has ``PER_WORD`` identifiers to a word."""
+    day = F.floor(F.col("ts") / F.lit(float(DAY_MS)))
+    fullest = rows.where(F.col("ts").isNotNull()).groupBy(day.alias("_d")).count().agg(F.max("count")).first()[0] or 1
+    return 1 << min(30, max(8, math.ceil(math.log2(fullest / PER_WORD)) if fullest > PER_WORD else 0))
+
+
+def repeated_rows(rows: DataFrame, slices: int = 2, blocks: int | None = None) -> DataFrame:
+    """``row_id`` of each row of a whole table to drop, by ingesting it in ``slices`` of arrival time.
+
+    Rows with a null vin or ts are never dropped; an empty table drops none; other columns don't matter.
+    """
     spark = rows.sparkSession
+    blocks = blocks or blocks_for(rows)
     store = MessageStore(spark, scratch_path(spark, "messages"), blocks)
     drops = [store.ingest(part) for part in arrival_slices(rows.select("row_id", "vin", "ts", *ORDER), "recv_at", slices)]
     out = drops[0]
