@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolane.functions import bit_width, zigzag_decode, zigzag_encode
 from chronolane.operators import profile, rollup, series
 from chronolane.requests import Aggregate, Compare, Downsample, Latest, TimeRange
 from chronolane.session import scratch_path
-from chronolane.sources import files
-from chronolane.sources.adapters import events_series, lineitem_series, orders_series
-from chronolane.sources.storage import TsCatalog
+from chronolane.sources import files, textrows
+from chronolane.sources.adapters import events_series, events_stream, lineitem_series, orders_series
+from chronolane.sources.generator import telemetry
+from chronolane.sources.storage import TsCatalog, TsTable
+from chronolane.streaming import downsample_stream, ingest, latest_stream, materialize
 from chronolane.types import Aggregator, ColumnType, CompareOp, ordinals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,6 +245,22 @@ add(
 )
 
 
+on_events(
+    "bit_widths",
+    lambda s: s.select("vin", "ts", bit_width(F.col("k").cast("bigint")).alias("k_bits"), zigzag_decode(zigzag_encode(F.col("k"), 32), 32).alias("k_back")),
+    "SELECT vin, ts, CASE WHEN k = 0 THEN 0 ELSE CAST(length(bin(k)) AS INTEGER) END AS k_bits, k AS k_back FROM s",
+)
+
+
+def _point(s: DataFrame) -> DataFrame:
+    """The rows of one entity at given times exactly."""
+    first = s.where(F.col("vin") == V).groupBy("vin").agg(F.min("ts").alias("ts"))  # one row
+    return s.join(F.broadcast(first), ["vin", "ts"], "left_semi")
+
+
+on_events("point_lookup", _point, f"SELECT * FROM s WHERE vin = '{V}' AND ts = (SELECT min(ts) FROM s WHERE vin = '{V}')")
+
+
 # ---- storage
 def _catalog(spark: SparkSession) -> TsCatalog:
     path = scratch_path(spark, "catalog")
@@ -284,6 +303,59 @@ add(
 )
 
 
+def _stored_queries(spark: SparkSession, d: str) -> TsTable:
+    """A compacted table: one segment of unique keys, read without a dedup."""
+    t = _catalog(spark).create_table("events", _COLUMNS, buckets=8)
+    t.write(events_series(spark, d))
+    t.compact()
+    return t
+
+
+add("stored_latest", lambda spark, d: _stored_queries(spark, d).latest(Latest.of([V, V2])), f"{SERIES} SELECT vin, max(ts) AS ts, {_ARG} FROM s WHERE vin IN ('{V}', '{V2}') GROUP BY vin")
+add("stored_time_range", lambda spark, d: _stored_queries(spark, d).time_range(TimeRange(V, LO, HI, ("value",))), f"{SERIES} SELECT vin, ts, value {_RANGE}")
+add(
+    "stored_downsample",
+    lambda spark, d: _stored_queries(spark, d).downsample(Downsample(V, LO, HI, "k", MAX, DAY, Compare(CompareOp.GREATER, 60))),
+    f"{SERIES} SELECT vin, {_W(DAY)} AS ts, coalesce(max(k) FILTER (k > 60), {INT_MARK}) AS k {_RANGE} GROUP BY 1, 2",
+)
+add("stored_rollup", lambda spark, d: _stored_queries(spark, d).build_rollup(BLOCK).select("vin", "blk", "min_ts", "max_ts", "n", "k_max"), f"{_BLOCKS} SELECT vin, blk, min_ts, max_ts, n, k_max FROM z")
+
+
+def _text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path, rows = scratch_path(spark, "text"), events_series(spark, d)
+    textrows.export_rows(rows, path)
+    return textrows.import_rows(spark, path, rows.schema)
+
+
+add("text_roundtrip", _text_roundtrip, f"{SERIES} SELECT vin, ts, k, value, event_type FROM s")
+add(
+    "generated_rows",
+    lambda spark, _d: telemetry(spark, vins=10, rows_per_vin=1000).groupBy("vin").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")),
+    "SELECT lpad(CAST(i AS VARCHAR), 17, '0') AS vin, CAST(1000 AS BIGINT) AS n, CAST(1693274400000 AS BIGINT) AS a, CAST(1693275399000 AS BIGINT) AS b FROM range(10) t(i)",
+)
+
+
+# ---- streams
+def _stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    t = _catalog(spark).create_table("events", _COLUMNS, buckets=8)
+    ingest(events_stream(spark, d), t, scratch_path(spark, "progress")).awaitTermination()
+    return t.read()
+
+
+def _stream_downsample(spark: SparkSession, d: str) -> DataFrame:
+    out = downsample_stream(events_stream(spark, d), "value", DAY, "1 hour", LO)
+    return materialize(out, scratch_path(spark, "stream"), scratch_path(spark, "progress")).withColumn("avg", F.round("avg", 9))
+
+
+add("stream_ingest", _stream_ingest, f"{SERIES} SELECT vin, ts, k, value, event_type FROM s")
+add("stream_downsample", _stream_downsample, f"{SERIES} SELECT vin, {_W(DAY)} AS ts, round(avg(value), 9) AS avg, max(value) AS max, count(*) AS n FROM s GROUP BY 1, 2")
+add(
+    "stream_latest",
+    lambda spark, d: materialize(latest_stream(events_stream(spark, d)), scratch_path(spark, "stream"), scratch_path(spark, "progress")),
+    f"{SERIES} SELECT vin, max(ts) AS ts, {_ARG} FROM s GROUP BY vin",
+)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Downsampled average over a comparison, for every entity of the events table."""
     return series.downsample_all(events_series(spark, d), Downsample("", LO, HI, "value", AVG, DAY, Compare(CompareOp.GREATER, 20.0)))

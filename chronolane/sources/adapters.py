@@ -10,9 +10,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vin, ts, k INT, value DOUBLE, event_type STRING) from ``events``."""
-    return table(spark, sf_dir, "events").select(
+def _as_series(events: DataFrame) -> DataFrame:
+    return events.select(
         F.lpad(F.col("user_id").cast("string"), 17, "0").alias("vin"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
         F.regexp_extract("props", "([0-9]+)", 1).try_cast("int").alias("k"),
@@ -21,6 +20,17 @@ def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vin, ts, k INT, value DOUBLE, event_type STRING) from ``events``."""
+    return _as_series(table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same series as a stream of the table's files."""
+    schema = table(spark, sf_dir, "events").schema
+    return _as_series(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+
+
 def orders_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vin, ts, price DOUBLE, status STRING, seq BIGINT) from ``orders``; (vin, ts) repeats."""
     return table(spark, sf_dir, "orders").select(

@@ -31,3 +31,18 @@ def latest_stream(stream: DataFrame) -> DataFrame:
     """The newest row per entity, to be written in update mode: one row of state per entity."""
     rest = [c for c in stream.columns if c != "vin"]
     return stream.groupBy("vin").agg(F.max_by(F.struct(*rest), "ts").alias("_row")).select("vin", "_row.*")
+
+
+def materialize(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a streaming aggregate over all that is there and gives its result, kept as a table.
+
+    Complete mode: each micro-batch replaces the table by the whole result so far.
+    """
+
+    def put(batch: DataFrame, _number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(path)
