@@ -104,17 +104,19 @@ def _pack_shard(boxes: list[tuple[str, int]]):
 def pack(rows: DataFrame, boxes: DataFrame, vocabulary: str = VOCABULARY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(box_kind, capacity_tokens, box_id, doc_id, piece_no, token_from, n_tokens) for each kind of box.
 
-    Only ids and sizes are shuffled. They are spread evenly, by a hash of the id, over shards of about ``shard_rows`` texts, each
+    Only ids and sizes are shuffled. They are spread evenly, by a hash of both, over shards of about ``shard_rows`` texts, each
     packed on its own: a shard can waste a few boxes at its end, a vanishing part of the thousands it fills. A text longer
     than a box is cut into full boxes and one rest, which is packed like any text; no other text is cut. Texts without tokens
-    (null, empty) come out once with a null ``box_id``. Kinds with a null or non-positive capacity are left out. ``doc_id`` is
-    not null. An empty table gives no rows.
+    (null, empty) come out once with a null ``box_id``. Kinds with a null or non-positive capacity are left out. A null
+    ``doc_id`` is kept as it is. An empty table gives no rows.
     """
     kinds = [(b.box_kind, b.capacity_tokens) for b in boxes.where("capacity_tokens > 0").select("box_kind", "capacity_tokens").distinct().sort("box_kind", "capacity_tokens").collect()]  # a few rows
     sized = written(token_counts(rows, keep=["doc_id"], vocabulary=vocabulary), "sizes")
     shards = max(1, math.ceil(sized.count() / shard_rows))
-    placed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return placed.groupBy("shard").applyInPandas(_pack_shard(kinds), PLACED)
+    # ids travel as text: a null among integers would turn them into floats
+    placed = sized.select(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("string").alias("doc_id"), "n_tokens")
+    packed = placed.groupBy("shard").applyInPandas(_pack_shard(kinds), PLACED.replace("doc_id bigint", "doc_id string"))
+    return packed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def box_fill(placed: DataFrame) -> DataFrame:
@@ -123,3 +125,13 @@ def box_fill(placed: DataFrame) -> DataFrame:
     boxes = boxed.groupBy("box_kind", "capacity_tokens", "box_id").agg(F.sum("n_tokens").alias("t"), F.max(F.when(F.col("piece_no") == 1, 1).otherwise(0)).alias("c"))
     sums = boxes.groupBy("box_kind", "capacity_tokens").agg(F.count("*").alias("n_boxes"), F.sum("t").alias("n_tokens"))
     return sums.withColumn("filled_share", F.round(F.col("n_tokens") / (F.col("n_boxes") * F.col("capacity_tokens")), 6))
+
+
+def box_check(placed: DataFrame) -> DataFrame:
+    """Per kind: texts placed, boxes over their capacity, and texts cut though they fit a box."""
+    boxes = placed.where(F.col("box_id").isNotNull()).groupBy("box_kind", "capacity_tokens", "box_id").agg(F.sum("n_tokens").alias("t"))
+    over = boxes.groupBy("box_kind").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_over"))
+    texts = placed.groupBy("box_kind", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("p"))
+    needed = F.greatest(F.ceil(F.col("t") / F.col("capacity_tokens")), F.lit(1))
+    cut = texts.groupBy("box_kind").agg(F.count("*").alias("n_texts"), F.count_if(F.col("p") != needed).alias("n_badly_cut"))
+    return cut.join(over, "box_kind", "left").select("box_kind", "n_texts", F.coalesce("n_over", F.lit(0)).cast("bigint").alias("n_over"), "n_badly_cut")

@@ -282,3 +282,25 @@ def percentiles(rows: DataFrame, fields: list[str], epsilon: float = EPSILON, pr
     both = kept.where("level = 'day'").unionByName(combine(kept.where("level = 'month'"), probs))
     values = [F.get("q", F.lit(j)).alias(column_name(p)) for j, p in enumerate(probs)]
     return both.select("vin", "day_no", "field", "n", "rank_error", *values)
+
+
+def bounds_kept(rows: DataFrame, found: DataFrame, fields: list[str], epsilon: float = EPSILON, probs: tuple[float, ...] = PROBS) -> DataFrame:
+    """(vin, day_no, field, n, within): holds the answers of ``percentiles`` against exact ranks counted in the rows."""
+    day = F.floor(F.col("ts") / F.lit(float(DAY_MS))).cast("int").alias("day_no")
+    keyed = rows.where(F.col("vin").isNotNull() & F.col("ts").isNotNull()).select("vin", day, *[_number(rows, f) for f in fields])
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])).alias("c")
+    values = keyed.select("vin", "day_no", cells).select("vin", "day_no", "c.*").where(~F.isnan("v"))
+    names = [column_name(p) for p in probs]
+    answers = found.select("vin", "day_no", "field", "n", "rank_error", *names)
+    per_day = values.join(answers.where("day_no IS NOT NULL"), ["vin", "day_no", "field"])
+    per_vin = values.drop("day_no").join(answers.where("day_no IS NULL"), ["vin", "field"]).select(*per_day.columns)
+    count = [F.count("*").alias("have")]
+    for p in names:
+        count += [F.count_if(F.col("v") < F.col(p)).alias(f"{p}_less"), F.count_if(F.col("v") <= F.col(p)).alias(f"{p}_upto")]
+    ranks = per_day.unionByName(per_vin).groupBy("vin", "day_no", "field", "n", "rank_error").agg(*count)
+    good = (F.col("have") == F.col("n")) & (F.col("rank_error") <= F.lit(epsilon) * F.col("n"))
+    for p, name in zip(probs, names, strict=True):
+        rank = F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1))
+        miss = F.greatest(F.col(f"{name}_less") + 1 - rank, rank - F.col(f"{name}_upto"), F.lit(0))
+        good = good & (miss <= F.col("rank_error")) & (F.col(f"{name}_upto") > F.col(f"{name}_less"))
+    return ranks.select("vin", "day_no", "field", "n", good.alias("within"))

@@ -175,6 +175,8 @@ def test_boxes(spark, small):
                 assert r.token_from == at
                 at += r.n_tokens
     assert {r.box_kind for r in rows} == {"s", "l"}
+    odd = spark.createDataFrame([(None, "no id", "x"), (2**62 + 1, "big id", "x"), (None, "no id", "x")], df.schema)
+    assert sorted((r.doc_id is None, r.doc_id) for r in packing.pack(odd, boxes).where("box_kind = 's'").collect()) == [(False, 2**62 + 1), (True, None), (True, None)]
     assert packing.pack(df.limit(0), boxes).count() == 0
 
 
