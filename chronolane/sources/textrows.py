@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"', "emptyValue": "", "nullValue": "\\N", "multiLine": "true"}
+_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"', "emptyValue": "", "nullValue": "\\N", "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def export_rows(df: DataFrame, path: str) -> None:

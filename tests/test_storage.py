@@ -76,6 +76,18 @@ def test_rollup_follows_writes(spark, folder):
     assert t.rollup(4) is None
 
 
+def test_aggregate_uses_the_rollup(spark, folder):
+    t = TsCatalog(spark, folder).create_table("t", COLUMNS)
+    t.write(spark.createDataFrame([(v, i * 10, i, i / 4, "x") for v in (A, B) for i in range(1000)], SCHEMA))
+    t.compact()
+    asks = [Aggregate(A, lo, hi, c, how) for lo, hi in ((0, 10_000), (5, 4444), (2500, 5000), (7, 9), (20_000, 30_000)) for c in ("col1", "col2") for how in Aggregator]
+    plain = [t.aggregate(x).first() for x in asks]
+    t.build_rollup()
+    fast = [t.aggregate(x) for x in asks]
+    assert "rollup" in str(fast[0].inputFiles())
+    assert [f.first() for f in fast] == plain
+
+
 def test_text_rows(spark, folder):
     df = spark.createDataFrame([(A, 1, -2147483648, 0.1 + 0.2, 'a"b,\n'), (B, 2, 0, float("-inf"), "")], SCHEMA)
     textrows.export_rows(df, f"{folder}/csv")
