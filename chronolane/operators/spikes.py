@@ -206,29 +206,35 @@ def scan_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _out(kind="excursion", part=part, field=field, vin=vins[gc[a + hit]], ts=gt[a + hit], v=gv[a + hit], margin=margin[hit])
 
 
+def with_segments(edges: DataFrame) -> DataFrame:
+    """Edge readings with ``seg``, the stretch without a hole they lie in, and whether a hole is ``before`` or ``after`` it.
+
+    A stretch is what two (short partitions: a few) neighbouring partitions pass on, so it is bounded, however many
+    partitions a hot source fills.
+    """
+    order = Window.partitionBy("vin", "field", "kind").orderBy("part", "pos")
+    hole = (F.lag("part").over(order) == F.col("part")) & (F.lag("pos").over(order) + 1 != F.col("pos"))
+    marked = edges.withColumn("hole", F.coalesce(hole, F.lit(False)).cast("int")).withColumn("next_hole", F.coalesce(F.lead("hole").over(order), F.lit(0)))
+    numbered = marked.withColumn("seg", F.sum("hole").over(order))
+    return numbered.select("vin", "field", "kind", "seg", "part", "pos", "ts", "v", (F.col("hole") > 0).alias("before"), (F.col("next_hole") > 0).alias("after"))
+
+
 def seam_flags(pdf):
-    """One source and field: its edge readings of all partitions in order; decides what the partitions could not."""
-    import pandas as pd
-
-    out = []
-    for kind, rows in pdf.sort_values(["part", "pos"]).groupby("kind"):
-        part, pos, v = rows["part"].to_numpy(), rows["pos"].to_numpy(), rows["v"].to_numpy()
-        holes = np.r_[True, (part[1:] == part[:-1]) & (pos[1:] != pos[:-1] + 1)]
-        bounds = np.r_[np.flatnonzero(holes), len(v)]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            seg = rows.iloc[a:b]
-            if kind == "course":
-                margin = excursions(v[a:b])
-                # a hole at either end: the readings next to it are decided in their own partition
-                if a > 0:
-                    margin[: HALF + LONGEST] = 0
-                if b < len(v):
-                    margin[-(HALF + LONGEST) :] = 0
-                hit = margin > 0
-                out.append(seg[hit].assign(kind="excursion", margin=margin[hit]))
-            elif rows["field"].iloc[0] in STUCK_FIELDS:
-                out.append(seg[stuck(v[a:b])].assign(kind="stuck"))
-    return pd.concat(out)[list(pdf.columns)] if out else pdf.iloc[:0]
+    """One stretch of edge readings of a source and field; decides what the partitions could not."""
+    pdf = pdf.sort_values(["part", "pos"])
+    v, kind = pdf["v"].to_numpy(), pdf["kind"].iloc[0]
+    margin = np.full(len(v), np.nan)
+    if kind == "course":
+        margin = excursions(v)
+        # a hole at either end: the readings next to it are decided in their own partition
+        if pdf["before"].iloc[0]:
+            margin[: HALF + LONGEST] = 0
+        if pdf["after"].iloc[-1]:
+            margin[-(HALF + LONGEST) :] = 0
+        hit, kind = margin > 0, "excursion"
+    else:
+        hit, kind = stuck(v) if pdf["field"].iloc[0] in STUCK_FIELDS else np.zeros(len(v), bool), "stuck"
+    return pdf[hit].assign(kind=kind, margin=margin[hit])[["kind", "vin", "ts", "field", "v", "margin"]]
 
 
 def median_changes(changes: DataFrame) -> DataFrame:
@@ -272,15 +278,13 @@ def implausible(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     changes = first.where("kind = 'change'").select("vin", "field", "v", "n").unionByName(across)
     medians = written(median_changes(changes), "medians")
     edges = first.where("kind in ('edge', 'course')")
-    # a partition passes on a bounded number of readings of two sources; sources within one partition have nothing to settle
-    crossing = edges.groupBy("vin", "field").agg(F.min("part").alias("a"), F.max("part").alias("b"))
-    seams = edges.join(crossing, ["vin", "field"]).drop("a", "b").groupBy("vin", "field").applyInPandas(seam_flags, SCAN)
+    seams = with_segments(edges).groupBy("vin", "field", "kind", "seg").applyInPandas(seam_flags, "kind string, vin string, ts bigint, field string, v double, margin double")
     wide = medians.groupBy("vin").agg(*[F.max(F.when(F.col("field") == f, F.col("median"))).alias(f"_{f}") for f in fields])
     if wide.count() <= BROADCAST_SOURCES:
         judged = ordered.join(F.broadcast(wide), "vin", "left")  # keeps partitions and their order
     else:
         judged = ordered.withColumns({f"_{f}": F.lit(0.0) for f in fields})
-    found = written(judged.mapInArrow(scan_flags, SCAN).unionByName(seams).select("kind", "vin", "ts", "field", "v", "margin"), "flags")
+    found = written(judged.mapInArrow(scan_flags, SCAN).select("kind", "vin", "ts", "field", "v", "margin").unionByName(seams), "flags")
     spikes = found.where("kind = 'excursion'").join(medians, ["vin", "field"]).where(F.col("margin") > TIMES_MEDIAN * F.col("median"))
     both = spikes.drop("median").unionByName(found.where("kind <> 'excursion'"))
     return both.select("vin", "ts", "field", "v", F.col("kind").alias("reason")).distinct()
