@@ -19,6 +19,7 @@ from chronolane.session import scratch_path
 from chronolane.sources import files
 
 BLOCKS = 1 << 20  # of a store whose size isn't known beforehand
+MOST_LISTED = 4000  # days named in a filter, ten years and more
 PER_WORD = 8  # identifiers per 64-bit word of the fullest bucket: about 2 % false positives
 ORDER = ("recv_at", "batch_id", "batch_pos")
 KEY = "_bucket int, _vin string, ts bigint"
@@ -76,6 +77,11 @@ class MessageStore:
             out = out.unionByName(p)
         return out
 
+    def _matching(self, buckets: DataFrame) -> DataFrame:
+        """The log's rows of some buckets: a list of days prunes folders when planned, a semi join if there are many."""
+        log, some = self._read("log", LOG), [r[0] for r in buckets.limit(MOST_LISTED + 1).collect()]
+        return log.where(F.col("_bucket").isin(some)) if len(some) <= MOST_LISTED else log.join(buckets, "_bucket", "left_semi")
+
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Takes a batch (row_id, vin, ts, recv_at, batch_id, batch_pos) and gives ``row_id`` of every row to drop.
 
@@ -100,12 +106,12 @@ class MessageStore:
             checked = f"{self.path}/maybe-{self.batches}"
             screen(keys, words, self.blocks).where("_maybe").drop("_maybe").write.parquet(checked)
             maybe = self.spark.read.schema(LOG).parquet(checked)
-            days = [r[0] for r in maybe.select("_bucket").distinct().collect()]  # one value per day: bounded by time
-            stored = self._read("log", LOG).where(F.col("_bucket").isin(days)).groupBy("_bucket", "_vin", "ts").agg(F.max("_rank").alias("_old"))
+            stored = self._matching(maybe.select("_bucket").distinct()).groupBy("_bucket", "_vin", "ts").agg(F.max("_rank").alias("_old"))
             both = maybe.join(stored, ["_bucket", "_vin", "ts"])
             across = both.select(F.least("_rank", "_old")["row_id"].alias("row_id"))
             drops = inside.unionByName(across)
-        keys.write.partitionBy("_bucket").parquet(f"{self.path}/log-{self.batches}")
+        # a task writes few days, and a day with many rows is written by several tasks
+        keys.repartitionByRange("_bucket", "_vin", "ts").write.partitionBy("_bucket").parquet(f"{self.path}/log-{self.batches}")
         bloom_words(keys, self.blocks).write.parquet(f"{self.path}/bloom-{self.batches}")
         self.batches += 1
         return drops
