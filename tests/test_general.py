@@ -190,6 +190,19 @@ def test_implausible(spark, monkeypatch, partitions, known):
     assert {(r.vin, r.ts, r.field) for r in got.collect()} == implausible_by_hand(rows)
 
 
+def test_where_the_screen_departs_from_the_literal_reading():
+    """Known difference: readings caught between excursions, and points of a steep ramp, lie on the rolling median.
+
+    Each differs from the readings around it by any multiple of the median change, so a literal reading of the definition
+    would flag them; the Hampel screen does not.
+    """
+    flat = np.array([5.0, 5.1] * 10)
+    caught = flat.copy()
+    caught[[8, 11]] = 99.0
+    assert np.flatnonzero(spikes.excursions(caught) > 10).tolist() == [8, 11]  # not 9 and 10
+    assert not (spikes.excursions(np.r_[flat, 50.0, 99.0, flat + 140]) > 10)[:21].any()
+
+
 def test_implausible_corner_cases(spark):
     make = lambda rows: spikes.implausible(spark.createDataFrame(rows, SENSOR))
     assert make([]).count() == 0
