@@ -52,3 +52,17 @@ def column_profile(df: DataFrame, column: str) -> DataFrame:
         F.round(F.sum("n") / F.nullif(F.sum("runs"), F.lit(0)), 6).alias("mean_run"),
         F.round(F.sum(F.when(F.col("v") == F.floor("v"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0)), 6).alias("whole_share"),
     )
+
+
+def smoothness(df: DataFrame, column: str) -> DataFrame:
+    """One row (n, mean_change, std_change, smoothness): how evenly a column moves from row to row.
+
+    Over the signed changes between an entity's neighbouring rows: their mean, standard deviation, and the latter over the
+    absolute mean (near 0 for a column that moves evenly, null if the mean is 0). Nulls, NaN and infinities are skipped.
+    Without any change: ``n`` 0, the rest null.
+    """
+    v = F.col(column).cast("double")
+    clean = df.select("vin", "ts", v.alias("v")).where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
+    step = lagged(clean, ["v"]).where(F.size("_lag") == 1).select((F.col("v") - F.col("_lag")[0]["v"]).alias("d"))
+    moved = step.agg(F.count("*").alias("n"), F.avg("d").alias("mean_change"), F.stddev_pop("d").alias("std_change"))
+    return moved.withColumn("smoothness", F.col("std_change") / F.nullif(F.abs("mean_change"), F.lit(0.0)))

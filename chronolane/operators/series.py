@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolane.functions import or_no_data, window_start
 from chronolane.functions.columns import no_data
+from chronolane.operators.ordered import dense_ids
 from chronolane.requests import Aggregate, Compare, Downsample, Latest, Span, TimeRange
 from chronolane.types import Aggregator, ColumnType, CompareOp, declared
 
@@ -20,15 +21,8 @@ def _projection(df: DataFrame, columns: tuple[str, ...]) -> list[str]:
 
 
 def _within(df: DataFrame, span: Span) -> DataFrame:
-    """Filters of a kind that reach the Parquet scan; a stored table adds its bucket (see sources.storage)."""
-    found = (F.col("vin") == span.vin) & (F.col("ts") >= span.lower) & (F.col("ts") < span.upper)
-    if "_bucket" in df.columns:
-        from chronolane.sources.storage import bucket_of
-
-        buckets = df.schema["_bucket"].metadata.get("buckets")
-        if buckets:
-            found = (F.col("_bucket") == bucket_of(span.vin, buckets)) & found
-    return df.where(found)
+    """Filters of a kind that reach the Parquet scan."""
+    return df.where((F.col("vin") == span.vin) & (F.col("ts") >= span.lower) & (F.col("ts") < span.upper))
 
 
 def numeric_kind(df: DataFrame, column: str) -> str:
@@ -69,7 +63,7 @@ def time_range(df: DataFrame, request: TimeRange) -> DataFrame:
     return _within(df, request).select("vin", "ts", *_projection(df, request.columns))
 
 
-def _matches(value: Column, kind: str, compare: Compare | None) -> Column:
+def matches(value: Column, kind: str, compare: Compare | None) -> Column:
     """Whether a cell takes part in the aggregate. NaN neither equals nor exceeds anything."""
     if compare is None:
         return F.lit(True)
@@ -80,7 +74,7 @@ def _matches(value: Column, kind: str, compare: Compare | None) -> Column:
 
 def _aggregate(value: Column, kind: str, how: Aggregator, compare: Compare | None) -> Column:
     """The aggregate with its filter inside, so that windows without a match still come out, marked "no data"."""
-    hit = _matches(value, kind, compare)
+    hit = matches(value, kind, compare)
     out = "double" if how is Aggregator.AVG else kind
     if compare is not None and compare.op is CompareOp.EQUAL:
         # the average (or maximum) of equal values is that value, exactly
@@ -113,14 +107,18 @@ def downsample(df: DataFrame, request: Downsample) -> DataFrame:
         window_start(F.col("ts"), request.lower, request.interval).alias("ts"), F.col(request.column).alias("_cell")
     )
     value = _aggregate(F.col("_cell"), kind, request.how, request.compare)
-    seen = rows.groupBy("ts").agg(value.alias(request.column))
+    return with_empty_windows(rows.groupBy("ts").agg(value.alias(request.column)), request, out)
+
+
+def with_empty_windows(seen: DataFrame, request: Downsample, kind: str) -> DataFrame:
+    """Of the windows with rows (ts, value) the answer (vin, ts, value), empty windows added if the request wants them."""
     if request.empty_windows == "fill":
         spine = (
             seen.agg(F.count("*").alias("_n"))
             .where(F.col("_n") > 0)
             .select(F.explode(F.sequence(*(F.lit(x).cast("bigint") for x in (request.lower, request.upper - 1, request.interval)))).alias("ts"))
         )
-        seen = spine.join(seen, "ts", "left").withColumn(request.column, F.coalesce(request.column, no_data(out)))
+        seen = spine.join(seen, "ts", "left").withColumn(request.column, F.coalesce(request.column, no_data(kind)))
     return seen.select(F.lit(request.vin).alias("vin"), "ts", request.column)
 
 
@@ -155,6 +153,4 @@ def vin_dictionary(df: DataFrame) -> DataFrame:
 
     Ids are ranks inside range partitions plus the count of all partitions before.
     """
-    from chronolane.operators.ordered import dense_ids
-
     return dense_ids(df.select("vin").where(F.col("vin").isNotNull()).distinct(), "vin", "vin_id")

@@ -11,11 +11,11 @@ from chronolane.functions import bit_width, zigzag_decode, zigzag_encode
 from chronolane.operators import profile, rollup, series
 from chronolane.requests import Aggregate, Compare, Downsample, Latest, TimeRange
 from chronolane.session import scratch_path
-from chronolane.sources import files, textrows
+from chronolane.sources import files, generator, textrows
 from chronolane.sources.adapters import events_series, events_stream, lineitem_series, orders_series
 from chronolane.sources.generator import telemetry
 from chronolane.sources.storage import TsCatalog, TsTable
-from chronolane.streaming import downsample_stream, ingest, latest_stream, materialize
+from chronolane.streaming import append_closed, downsample_stream, ingest, latest_stream, materialize
 from chronolane.types import Aggregator, ColumnType, CompareOp, ordinals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,8 +196,10 @@ on_zones(
     "min(k_min) AS k_min, round(sum(value_sum), 6) AS value_sum, max(value_max) AS value_max, min(value_min) AS value_min FROM z GROUP BY 1, 2",
 )
 on_zones("block_prune_candidates", lambda z: rollup.overlapping(z, LO, HI).select("vin", "blk", "min_ts", "max_ts", "n"), f"SELECT vin, blk, min_ts, max_ts, n FROM z WHERE max_ts >= {LO} AND min_ts < {HI}")
-on_zones("block_may_match", lambda z: rollup.may_exceed(z, "k", 97).select("vin", "blk", "k_max"), "SELECT vin, blk, k_max FROM z WHERE k_max > 97")
-on_zones("block_all_match", lambda z: rollup.all_exceed(z, "k", 2).select("vin", "blk", "k_min"), "SELECT vin, blk, k_min FROM z WHERE k_min > 2")
+on_zones("block_may_match", lambda z: rollup.may_match(z, "k", Compare(CompareOp.GREATER, 97)).select("vin", "blk", "k_max"), "SELECT vin, blk, k_max FROM z WHERE k_max > 97")
+on_zones("block_all_match", lambda z: rollup.all_match(z, "k", Compare(CompareOp.GREATER, 2)).select("vin", "blk", "k_min"), "SELECT vin, blk, k_min FROM z WHERE k_min > 2")
+on_zones("block_may_equal", lambda z: rollup.may_match(z, "k", Compare(CompareOp.EQUAL, 97)).select("vin", "blk", "k_min", "k_max"), "SELECT vin, blk, k_min, k_max FROM z WHERE k_min <= 97 AND k_max >= 97")
+on_zones("block_all_equal", lambda z: rollup.all_match(z, "k", Compare(CompareOp.EQUAL, 42)).select("vin", "blk", "n"), "SELECT vin, blk, n FROM z WHERE k_min = 42 AND k_max = 42")
 on_zones("last_block", rollup.last_blocks, "SELECT z.* FROM z JOIN (SELECT vin, max(blk) AS blk FROM z GROUP BY vin) USING (vin, blk)")
 for _name, _c, _how, _e in (("agg_via_rollup", "k", AVG, f"coalesce(avg(k), {DOUBLE_MARK})"), ("agg_via_rollup_max", "k", MAX, f"coalesce(max(k), {INT_MARK})")):
     on_events(
@@ -231,6 +233,11 @@ on_events(
     "SELECT count(*) AS n, min(v) AS v_min, max(v) AS v_max, count(DISTINCT v) AS n_distinct, count(*) FILTER (start) AS n_runs, "
     "round(count(*) / count(*) FILTER (start), 6) AS mean_run, round(count(*) FILTER (v = floor(v)) / count(*), 6) AS whole_share FROM r",
 )
+on_events(
+    "column_smoothness",
+    lambda s: profile.smoothness(s, "value").select("n", *[F.round(c, 6).alias(c) for c in ("mean_change", "std_change")]),
+    f", d AS (SELECT value - {_LAGS.format('value', 1)} AS d FROM s WHERE isfinite(value)) SELECT count(d) AS n, round(avg(d), 6) AS mean_change, round(stddev_pop(d), 6) AS std_change FROM d",
+)
 
 
 def _ordinals(spark: SparkSession, _dir: str) -> DataFrame:
@@ -321,6 +328,64 @@ add(
 add("stored_rollup", lambda spark, d: _stored_queries(spark, d).build_rollup(BLOCK).select("vin", "blk", "min_ts", "max_ts", "n", "k_max"), f"{_BLOCKS} SELECT vin, blk, min_ts, max_ts, n, k_max FROM z")
 
 
+def _with_rollup(spark: SparkSession, d: str, block_rows: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Stored rows and their stored rollup, in blocks small enough that a day holds whole ones."""
+    t = _stored_queries(spark, d)
+    return t.read([V], LO, HI), t.build_rollup(block_rows)
+
+
+for _op, _v in ((CompareOp.GREATER, 20), (CompareOp.EQUAL, 42)):
+    _e = f"coalesce(round(avg(k) FILTER (k > {_v}), 9), {DOUBLE_MARK})" if _op is CompareOp.GREATER else f"CASE WHEN count(*) FILTER (k = {_v}) > 0 THEN CAST({_v} AS DOUBLE) ELSE {DOUBLE_MARK} END"
+    add(
+        f"stored_downsample_rollup_{_op.value}",
+        lambda spark, d, op=_op, v=_v: _rounded(rollup.downsample_from_zones(*_with_rollup(spark, d), Downsample(V, LO, HI, "k", AVG, 2 * DAY, Compare(op, v))), "k"),
+        f"{SERIES} SELECT vin, {_W(2 * DAY)} AS ts, {_e} AS k {_RANGE} GROUP BY 1, 2",
+    )
+add(
+    "stored_downsample_rollup_max",
+    lambda spark, d: rollup.downsample_from_zones(*_with_rollup(spark, d), Downsample(V, LO, HI, "value", MAX, 2 * DAY)),
+    f"{SERIES} SELECT vin, {_W(2 * DAY)} AS ts, max(value) AS value {_RANGE} GROUP BY 1, 2",
+)
+
+
+def _stored_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    t = _stored_queries(spark, d)
+    t.build_rollup()
+    return _rounded(t.aggregate(Aggregate(V, LO + 1234567, HI - 7654321, "value", AVG)), "value")
+
+
+def _stored_point(spark: SparkSession, d: str) -> DataFrame:
+    t = _stored_queries(spark, d)
+    first = t.read([V]).agg(F.min("ts")).first()[0]  # one row
+    return t.point(V, [first, first + 1])
+
+
+def _stored_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the first write's entities keep their place when a second write brings more."""
+    t = _catalog(spark).create_table("events", _COLUMNS, buckets=8)
+    s = events_series(spark, d)
+    t.write(s.where(F.col("vin") > V2))
+    t.dictionary()
+    t.write(s)
+    return t.dictionary()
+
+
+def _compression(spark: SparkSession, d: str) -> DataFrame:
+    """Raw size exactly; of the stored size, which no SQL knows, that it is there and smaller."""
+    made = _stored_queries(spark, d).compression()
+    return made.select("n_rows", "raw_bytes", ((F.col("stored_bytes") > 0) & (F.col("ratio") < 1)).alias("smaller"))
+
+
+add("stored_aggregate", _stored_aggregate, f"{SERIES} SELECT '{V}' AS vin, CAST({LO + 1234567} AS BIGINT) AS ts, coalesce(round(avg(value), 9), {DOUBLE_MARK}) AS value FROM s WHERE vin = '{V}' AND ts >= {LO + 1234567} AND ts < {HI - 7654321}")
+add("stored_point_lookup", _stored_point, f"{SERIES} SELECT * FROM s WHERE vin = '{V}' AND ts <= (SELECT min(ts) FROM s WHERE vin = '{V}') + 1")
+add(
+    "stored_dictionary",
+    _stored_dictionary,
+    f"{SERIES}, v AS (SELECT DISTINCT vin, vin <= '{V2}' AS late FROM s) SELECT vin, CAST(row_number() OVER (ORDER BY late, vin) - 1 AS INTEGER) AS vin_id FROM v",
+)
+add("compression_ratio", _compression, f"{SERIES} SELECT count(*) AS n_rows, CAST(sum(17 + 8 + 4 + 8 + strlen(event_type)) AS BIGINT) AS raw_bytes, true AS smaller FROM s")
+
+
 def _text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path, rows = scratch_path(spark, "text"), events_series(spark, d)
     textrows.export_rows(rows, path)
@@ -330,11 +395,28 @@ def _text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 add("text_roundtrip", _text_roundtrip, f"{SERIES} SELECT vin, ts, k, value, event_type FROM s")
 add(
     "generated_rows",
-    lambda spark, _d: telemetry(spark, vins=10, rows_per_vin=1000).groupBy("vin").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")),
-    "SELECT lpad(CAST(i AS VARCHAR), 17, '0') AS vin, CAST(1000 AS BIGINT) AS n, CAST(1693274400000 AS BIGINT) AS a, CAST(1693275399000 AS BIGINT) AS b FROM range(10) t(i)",
+    lambda spark, _d: telemetry(spark, vins=10, rows_per_vin=100).select("vin", "ts", "YXMS", "SOC", F.length("ORNI").alias("orni"), F.length("JUBK").alias("jubk"), F.substring("CS", 2, 3).alias("cs")),
+    """WITH g AS (SELECT id, (((id + 1) * 2654435761 + (42 + 17) * 40503001::BIGINT) % 4294967296) >> 12 AS y, (((id + 1) * 2654435761 + (42 + 106) * 40503001::BIGINT) % 4294967296) >> 12 AS s FROM range(1000) r(id))
+ SELECT lpad(CAST(id // 100 AS VARCHAR), 17, '0') AS vin, CAST(16492012515000 + id % 100 * 1000 AS BIGINT) AS ts, CAST(y % 4 AS INTEGER) AS "YXMS", CAST(s % 1000 AS DOUBLE) AS "SOC", 30 AS orni, 100 AS jubk, 'asd' AS cs FROM g""",
 )
 
 
+def _generated_requests(spark: SparkSession, _d: str) -> DataFrame:
+    """The four workloads' requests on the generated table: how many rows one of each kind gives."""
+    t = _catalog(spark).create_table("vehicles", generator.SCHEMA, buckets=8)
+    t.write(telemetry(spark, vins=1))
+    r, a, w = next(generator.time_range_requests()), next(generator.aggregate_requests()), next(generator.downsample_requests())
+    counts = [("latest", t.latest(next(generator.latest_requests()))), ("time_range", t.time_range(r)), ("aggregate", t.aggregate(a)), ("downsample", t.downsample(w))]
+    out = None
+    for name, df in counts:
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+add("generated_requests", _generated_requests, "SELECT * FROM (VALUES ('latest', CAST(1 AS BIGINT)), ('time_range', 300), ('aggregate', 1), ('downsample', 360)) t(kind, n)")
+
+
 # ---- streams
 def _stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     t = _catalog(spark).create_table("events", _COLUMNS, buckets=8)
@@ -347,6 +429,19 @@ def _stream_downsample(spark: SparkSession, d: str) -> DataFrame:
     return materialize(out, scratch_path(spark, "stream"), scratch_path(spark, "progress")).withColumn("avg", F.round("avg", 9))
 
 
+def _stream_closed(spark: SparkSession, d: str) -> DataFrame:
+    """Append mode over two files, the second one late: only windows the watermark has closed come out, late rows don't."""
+    base = scratch_path(spark, "late")
+    one = events_series(spark, d).where(F.col("ts") < LO + 3 * DAY)
+    one.coalesce(1).write.parquet(f"{base}/in/a")
+    stream = spark.readStream.schema(one.schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    windows = downsample_stream(stream, "value", DAY, "1 hour", LO)
+    append_closed(windows, f"{base}/out", f"{base}/ck").awaitTermination()
+    events_series(spark, d).where(F.col("ts") < LO + DAY).withColumn("value", F.lit(1e6)).coalesce(1).write.parquet(f"{base}/in/b")
+    append_closed(windows, f"{base}/out", f"{base}/ck").awaitTermination()
+    return spark.read.schema(windows.schema).parquet(f"{base}/out").withColumn("avg", F.round("avg", 9))
+
+
 add("stream_ingest", _stream_ingest, f"{SERIES} SELECT vin, ts, k, value, event_type FROM s")
 add("stream_downsample", _stream_downsample, f"{SERIES} SELECT vin, {_W(DAY)} AS ts, round(avg(value), 9) AS avg, max(value) AS max, count(*) AS n FROM s GROUP BY 1, 2")
 add(
@@ -359,3 +454,10 @@ add(
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Downsampled average over a comparison, for every entity of the events table."""
     return series.downsample_all(events_series(spark, d), Downsample("", LO, HI, "value", AVG, DAY, Compare(CompareOp.GREATER, 20.0)))
+
+add(
+    "stream_closed_windows",
+    _stream_closed,
+    f"{SERIES}, r AS (SELECT * FROM s WHERE ts < {LO + 3 * DAY}), w AS (SELECT vin, {_W(DAY)} AS ts, round(avg(value), 9) AS avg, max(value) AS max, count(*) AS n FROM r GROUP BY 1, 2) "
+    f"SELECT * FROM w WHERE ts + {DAY} <= (SELECT max(ts) FROM r) - {HOUR}",
+)

@@ -24,20 +24,20 @@ def local_session(cores: int | str = "*", memory: str = "12g", partitions: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset (tests, one machine) a temporary folder.
+    """``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder, which only serves a local master.
 
-    The checkpoint directory of the context is set to it as well, so that ``DataFrame.checkpoint`` can be used.
+    On a cluster an unset folder raises, since executors of several machines don't share a temporary one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{os.path.join(tempfile.gettempdir(), 'chronolane-shared')}"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    return where.rstrip("/")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/chronolane-{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark)}/chronolane-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:

@@ -56,3 +56,14 @@ def delete(spark: SparkSession, path: str) -> None:
 def size(spark: SparkSession, path: str) -> int:
     fs, p = _fs(spark, path)
     return int(fs.getContentSummary(p).getLength())
+
+
+def modified(spark: SparkSession, path: str) -> float:
+    """Seconds since 1970 of a file's or folder's last change."""
+    fs, p = _fs(spark, path)
+    return fs.getFileStatus(p).getModificationTime() / 1000
+
+
+def is_dir(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()

@@ -1,8 +1,9 @@
-"""A catalog of series tables: bucketed, sorted Parquet segments with atomic numbered commits.
+"""A catalog of series tables: bucketed, sorted Parquet segments with atomic, ordered commits.
 
-Layout of a table: ``_meta.json`` (columns, buckets), ``data/_batch=N/_bucket=K/*.parquet`` and ``_commits/N.json``.
-A batch becomes visible when its commit file is created; commit numbers order the batches, row positions order the rows of
-a batch, and of several rows with one (vin, ts) the last written wins.
+Layout of a table: ``_meta.json`` (columns, buckets), ``data/_batch=NAME/_bucket=K/*.parquet``, ``_versions`` (see
+``sources.versions``), ``rollup`` and ``dictionary``. A batch gets its place in the order when it is committed, not when its
+writer starts; a compacted batch takes the place of the newest batch it replaces. Row positions order the rows of a batch, and
+of several rows with one (vin, ts) the last written wins.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ from pyspark.sql import types as T
 
 from chronolane.functions import poly_bucket
 from chronolane.operators import series
-from chronolane.operators.rollup import BLOCK_ROWS, aggregate_from_zones, zone_map
+from chronolane.operators.ordered import dense_ids
+from chronolane.operators.rollup import BLOCK_ROWS, aggregate_from_zones, downsample_from_zones, zone_map
 from chronolane.requests import Aggregate, Downsample, Latest, TimeRange
 from chronolane.sources import files
+from chronolane.sources.versions import Versions, fresh_name, sweep
 from chronolane.types import ColumnType, declared, series_schema
 
 WRITE_OPTIONS = {"compression": "zstd", "parquet.writer.version": "v2"}
+KEEP_S = 7 * 86_400  # what vacuum spares: a writer or reader may still use it
 
 
 def bucket_of(vin: str, buckets: int) -> int:
@@ -29,6 +33,18 @@ def bucket_of(vin: str, buckets: int) -> int:
     return zlib.crc32(vin.encode()) % buckets
 
 
+class Snapshot:
+    """The live batches of one version, with their places in the order; ``content`` numbers what the table holds."""
+
+    def __init__(self, state: dict) -> None:
+        self.batches: dict[str, dict] = state.get("batches", {})
+        self.content: int = state.get("content", 0)
+
+    @property
+    def unique(self) -> bool:
+        return len(self.batches) == 1 and next(iter(self.batches.values()))["unique"]
+
+
 class TsTable:
     """One table. Reads are lazy DataFrames of the batches committed when they are made."""
 
@@ -37,35 +53,27 @@ class TsTable:
         meta = json.loads(files.read_text(spark, f"{self.path}/_meta.json"))
         self.schema = T.StructType.fromJson(meta["schema"])
         self.buckets: int = meta["buckets"]
+        self.versions = Versions(spark, f"{self.path}/_versions")
 
     # -- commits
-    def _commits(self) -> dict[int, dict]:
-        found = {int(n.removesuffix(".json")): None for n in files.names(self.spark, f"{self.path}/_commits") if n.endswith(".json")}
-        commits = {n: json.loads(files.read_text(self.spark, f"{self.path}/_commits/{n}.json")) for n in found}
-        replaced = {x for c in commits.values() for x in c.get("replaces", [])}
-        return {n: c for n, c in sorted(commits.items()) if n not in replaced}
-
-    def _claim(self) -> int:
-        """A batch number of one's own: claims are files that only one writer can create."""
-        taken = [int(x) for x in files.names(self.spark, f"{self.path}/_claims")]
-        n = max(taken, default=0) + 1
-        while not files.write_new(self.spark, f"{self.path}/_claims/{n}", ""):
-            n += 1
-        return n
-
-    def _put(self, rows: DataFrame, commit: dict) -> int:
-        n = self._claim()
+    def snapshot(self) -> Snapshot:
+        return Snapshot(self.versions.read()[1])
+
+    def _put(self, rows: DataFrame) -> str:
+        """Writes rows into a folder of their own; nobody sees it before it is committed."""
+        name = fresh_name("b")
         (
             rows.withColumn("_bucket", poly_bucket(F.col("vin"), self.buckets))
             .repartitionByRange("_bucket", "vin", "ts")
             .sortWithinPartitions("_bucket", "vin", "ts", "_pos")
             .write.options(**WRITE_OPTIONS)
             .partitionBy("_bucket")
-            .mode("overwrite")
-            .parquet(f"{self.path}/data/_batch={n}")
+            .parquet(f"{self.path}/data/_batch={name}")
         )
-        files.write_new(self.spark, f"{self.path}/_commits/{n}.json", json.dumps(commit))
-        return n
+        return name
+
+    def _drop(self, name: str) -> None:
+        files.delete(self.spark, f"{self.path}/data/_batch={name}")
 
     # -- writing
     def _checked(self, df: DataFrame) -> DataFrame:
@@ -81,13 +89,18 @@ class TsTable:
             out.append(F.col(f"`{have[f.name.lower()]}`").cast(f.dataType).alias(f.name))
         return df.select(*out)
 
-    def write(self, df: DataFrame, sequence: str | None = None, tag: str | None = None) -> int | None:
+    def write(self, df: DataFrame, sequence: str | None = None, tag: str | None = None, transaction: tuple[str, int] | None = None) -> int | None:
         """Upserts the rows as one atomic, durable batch. Rows with a null in any column are refused (the job fails).
 
         ``sequence`` names a column that orders the rows; else their order in ``df`` counts. A batch whose ``tag`` was
-        committed before is skipped and gives None (streams that repeat a batch).
+        committed before is skipped and gives None, and so is one whose ``transaction`` (writer, number) isn't newer than the
+        writer's last. Both are remembered for good, compaction or not, and are checked again when the batch is committed.
         """
-        if tag is not None and any(c.get("tag") == tag for c in self._commits().values()):
+
+        def done(state: dict) -> bool:
+            return tag in state.get("tags", []) or transaction is not None and transaction[1] <= state.get("writers", {}).get(transaction[0], -1)
+
+        if done(self.versions.read()[1]):
             return None
         order = F.col(sequence).cast("bigint") if sequence else F.monotonically_increasing_id()
         rows = df.withColumn("_order", order)
@@ -96,41 +109,81 @@ class TsTable:
             *[F.coalesce(F.col(f"`{c}`").cast(self.schema[c].dataType), F.raise_error(F.lit(f"null in {c}"))).alias(c) for c in checked],
             F.col("_order").alias("_pos"),
         )
-        return self._put(filled, {"tag": tag})
-
-    def compact(self) -> int:
-        """Rewrites all batches as one with unique keys; readers see either the old batches or the new one."""
-        old = self._commits()
-        if len(old) == 1 and next(iter(old.values())).get("unique"):
-            return next(iter(old))
-        rows = self.read().withColumn("_pos", F.lit(0).cast("bigint"))
-        return self._put(rows, {"replaces": list(old), "unique": True})
+        name = self._put(filled)
+
+        def add(state: dict) -> dict | None:
+            if done(state):
+                return None
+            place = state.get("content", 0) + 1
+            new = {**state, "content": place, "batches": {**state.get("batches", {}), name: {"place": place, "unique": False}}}
+            if tag is not None:
+                new["tags"] = [*state.get("tags", []), tag]
+            if transaction is not None:
+                new["writers"] = {**state.get("writers", {}), transaction[0]: transaction[1]}
+            return new
+
+        version = self.versions.change(add)
+        if version is None:
+            self._drop(name)
+        return version
+
+    def compact(self) -> int | None:
+        """Rewrites the batches there are as one with unique keys; readers see either the old batches or the new one.
+
+        Batches committed meanwhile stay and are newer than the compacted one. If another compaction was faster, nothing changes.
+        """
+        old = self.snapshot()
+        if old.unique or not old.batches:
+            return None
+        name = self._put(self.read(snapshot=old).withColumn("_pos", F.lit(0).cast("bigint")))
+
+        def swap(state: dict) -> dict | None:
+            live = state.get("batches", {})
+            if not set(old.batches) <= set(live):
+                return None
+            place = max(b["place"] for b in old.batches.values())
+            return {**state, "batches": {name: {"place": place, "unique": True}, **{n: b for n, b in live.items() if n not in old.batches}}}
+
+        version = self.versions.change(swap)
+        if version is None:
+            self._drop(name)
+        return version
+
+    def vacuum(self, older_than_s: float = KEEP_S) -> int:
+        """Deletes what no longer is live and is older than that: folders of batches and rollups, version files. Gives the number of folders."""
+        snap = self.snapshot()
+        gone = sweep(self.spark, f"{self.path}/data", {f"_batch={n}" for n in snap.batches}, older_than_s)
+        state = {n: p for n, p in self._rollups().items() if p["content"] == snap.content}
+        gone += sweep(self.spark, f"{self.path}/rollup", {"_index", *(p["folder"] for p in state.values())}, older_than_s)
+        self.versions.prune(older_than_s)
+        return gone
 
     # -- reading
-    def segments(self, vins: list[str] | None = None) -> DataFrame:
+    def segments(self, vins: list[str] | None = None, snapshot: Snapshot | None = None) -> DataFrame:
         """All committed rows with ``_batch``, ``_pos`` and ``_bucket``; with ``vins`` only their buckets are listed and read."""
-        full = T.StructType([*self.schema.fields, T.StructField("_pos", T.LongType()), T.StructField("_batch", T.IntegerType()), T.StructField("_bucket", T.IntegerType())])
-        live = list(self._commits())
-        if not live:
+        snap = snapshot or self.snapshot()
+        full = T.StructType([*self.schema.fields, T.StructField("_pos", T.LongType()), T.StructField("_batch", T.StringType()), T.StructField("_bucket", T.IntegerType())])
+        if not snap.batches:
             return self.spark.createDataFrame([], full)
-        rows = self.spark.read.schema(full).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/_batch={n}" for n in live])
+        rows = self.spark.read.schema(full).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/_batch={n}" for n in snap.batches])
         if vins is not None:
             buckets = sorted({bucket_of(v, self.buckets) for v in vins})
             rows = rows.where(F.col("_bucket").isin(buckets) & F.col("vin").isin(vins))
         return rows
 
-    def read(self, vins: list[str] | None = None, lower: int | None = None, upper: int | None = None) -> DataFrame:
-        """The table's rows, last write per (vin, ts). Key filters are applied below the dedup and reach the scan."""
-        rows = self.segments(vins)
+    def read(self, vins: list[str] | None = None, lower: int | None = None, upper: int | None = None, snapshot: Snapshot | None = None) -> DataFrame:
+        """The table's rows, last write per (vin, ts), of one snapshot. Key filters lie below the dedup and reach the scan."""
+        snap = snapshot or self.snapshot()
+        rows = self.segments(vins, snap)
         if lower is not None:
             rows = rows.where(F.col("ts") >= lower)
         if upper is not None:
             rows = rows.where(F.col("ts") < upper)
         names = [f.name for f in self.schema]
-        live = self._commits()
-        if len(live) == 1 and next(iter(live.values())).get("unique"):
+        if snap.unique or not snap.batches:
             return rows.select(*names)
-        rows = rows.withColumn("_seq", F.struct("_batch", "_pos")).drop("_batch", "_pos", "_bucket")
+        places = F.create_map(*[F.lit(x) for n, b in snap.batches.items() for x in (n, b["place"])])
+        rows = rows.withColumn("_seq", F.struct(F.element_at(places, F.col("_batch")).alias("place"), "_pos")).drop("_batch", "_pos", "_bucket")
         return series.resolve_upserts(rows, "_seq").select(*names)
 
     # -- queries
@@ -140,39 +193,96 @@ class TsTable:
     def time_range(self, request: TimeRange) -> DataFrame:
         return series.time_range(self.read([request.vin], request.lower, request.upper), request)
 
+    def point(self, vin: str, times: list[int], columns: tuple[str, ...] = ()) -> DataFrame:
+        """The rows of one entity at exactly these times; only its bucket is read, and in it only row groups that can hold them."""
+        rows = self.read([vin], min(times, default=0), max(times, default=-1) + 1).where(F.col("ts").isin(times))
+        return rows.select("vin", "ts", *(columns or [f.name for f in self.schema if f.name not in ("vin", "ts")]))
+
+    def _with_rollup(self, request: Aggregate) -> tuple[DataFrame, DataFrame | None]:
+        """Rows and rollup of the same snapshot."""
+        snap = self.snapshot()
+        return self.read([request.vin], request.lower, request.upper, snap), self.rollup(snapshot=snap)
+
     def aggregate(self, request: Aggregate) -> DataFrame:
-        """From the rollup, if one was built of the present batches, raw rows being read for cut blocks only; else from rows.
+        """From the rollup, if one was built of the present rows, raw rows being read for cut blocks only; else from rows.
 
         An AVG from block sums may differ from a row-wise one in the last digits.
         """
-        rows, zones = self.read([request.vin], request.lower, request.upper), self.rollup()
+        rows, zones = self._with_rollup(request)
         return series.aggregate(rows, request) if zones is None else aggregate_from_zones(rows, zones, request)
 
     def downsample(self, request: Downsample) -> DataFrame:
-        return series.downsample(self.read([request.vin], request.lower, request.upper), request)
+        """From the rollup as far as whole blocks decide, as ``aggregate``; else from rows."""
+        rows, zones = self._with_rollup(request)
+        return series.downsample(rows, request) if zones is None else downsample_from_zones(rows, zones, request)
 
-    # -- rollups and size
-    def build_rollup(self, block_rows: int = BLOCK_ROWS) -> DataFrame:
-        """Writes the zone map of the present batches and returns it; ``rollup`` refuses it after a later write."""
-        version = "-".join(map(str, self._commits()))
-        path = f"{self.path}/rollup/{block_rows}_{version}"
-        if not files.exists(self.spark, f"{path}/_SUCCESS"):
-            zone_map(self.read(), block_rows).repartitionByRange("vin", "blk").sortWithinPartitions("vin", "blk").write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+    # -- rollups, dictionary and size
+    def _rollups(self) -> dict[str, dict]:
+        where = f"{self.path}/rollup/_index"
+        return {n: json.loads(files.read_text(self.spark, f"{where}/{n}")) for n in files.names(self.spark, where) if n.endswith(".json")}
 
-    def rollup(self, block_rows: int = BLOCK_ROWS) -> DataFrame | None:
-        path = f"{self.path}/rollup/{block_rows}_{'-'.join(map(str, self._commits()))}"
-        return self.spark.read.parquet(path) if files.exists(self.spark, f"{path}/_SUCCESS") else None
+    def build_rollup(self, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        """Writes the zone map of the present rows and returns it; ``rollup`` refuses it after a later write, not after a compaction."""
+        snap = self.snapshot()
+        if (zones := self.rollup(block_rows, snap)) is None:
+            folder = fresh_name(f"r{block_rows}")
+            made = zone_map(self.read(snapshot=snap), block_rows).repartitionByRange("vin", "blk").sortWithinPartitions("vin", "blk")
+            made.write.options(**WRITE_OPTIONS).parquet(f"{self.path}/rollup/{folder}")
+            files.make_dir(self.spark, f"{self.path}/rollup/_index")
+            files.write_new(self.spark, f"{self.path}/rollup/_index/{block_rows}-{snap.content}.json", json.dumps({"folder": folder, "content": snap.content}))
+            zones = self.rollup(block_rows, snap)
+        return zones
+
+    def rollup(self, block_rows: int = BLOCK_ROWS, snapshot: Snapshot | None = None) -> DataFrame | None:
+        snap = snapshot or self.snapshot()
+        index = f"{self.path}/rollup/_index/{block_rows}-{snap.content}.json"
+        if not files.exists(self.spark, index):
+            return None
+        return self.spark.read.parquet(f"{self.path}/rollup/{json.loads(files.read_text(self.spark, index))['folder']}")
+
+    def _dictionary(self, state: dict) -> DataFrame:
+        if not state.get("folders"):
+            return self.spark.createDataFrame([], "vin string, vin_id int")
+        return self.spark.read.schema("vin string, vin_id int").parquet(*[f"{self.path}/dictionary/{f}" for f in state["folders"]])
+
+    def dictionary(self) -> DataFrame:
+        """(vin, vin_id), stored. Ids are dense and never change: entities that are new since the last call get the next ones, in their own order."""
+        log = Versions(self.spark, f"{self.path}/dictionary/_versions")
+        while True:
+            number, state = log.read()
+            known = self._dictionary(state)
+            new = self.read().select("vin").distinct().join(known.select("vin"), "vin", "left_anti")
+            folder, size = fresh_name("d"), state.get("size", 0)
+            dense_ids(new, "vin", "vin_id").withColumn("vin_id", (F.col("vin_id") + size).cast("int")).write.parquet(f"{self.path}/dictionary/{folder}")
+            added = self._dictionary({"folders": [folder]}).count()
+            if not added:
+                files.delete(self.spark, f"{self.path}/dictionary/{folder}")
+                return known
+            new_state = {"folders": [*state.get("folders", []), folder], "size": size + added}
+            if log.commit(number + 1, new_state):
+                return self._dictionary(new_state)
+            files.delete(self.spark, f"{self.path}/dictionary/{folder}")  # another writer was faster: its ids count
 
     def stored_bytes(self) -> int:
-        return sum(files.size(self.spark, f"{self.path}/data/_batch={n}") for n in self._commits())
+        return sum(files.size(self.spark, f"{self.path}/data/_batch={n}") for n in self.snapshot().batches)
+
+    def compression(self) -> DataFrame:
+        """One row (n_rows, raw_bytes, stored_bytes, ratio). Raw: 8 bytes of ``ts`` and each double, 4 of an int, a string's own."""
+        fixed = {T.IntegerType: 4, T.LongType: 8, T.DoubleType: 8}
+        cells = [F.octet_length(f.name) if isinstance(f.dataType, T.StringType) else F.lit(fixed[type(f.dataType)]) for f in self.schema]
+        width = cells[0]
+        for c in cells[1:]:
+            width = width + c
+        sums = self.read().agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(width), F.lit(0)).cast("bigint").alias("raw_bytes"))
+        sums = sums.withColumn("stored_bytes", F.lit(self.stored_bytes()).cast("bigint"))
+        return sums.withColumn("ratio", F.col("stored_bytes") / F.nullif(F.col("raw_bytes"), F.lit(0)))
 
 
 class TsCatalog:
     """Tables below one directory, which must exist."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        if not files.exists(spark, path):
+        if not files.is_dir(spark, path):
             raise FileNotFoundError(path)
         self.spark, self._path = spark, path.rstrip("/")
 
@@ -182,8 +292,7 @@ class TsCatalog:
 
     def create_table(self, name: str, columns: dict[str, ColumnType], buckets: int = 32) -> TsTable:
         meta = {"schema": json.loads(series_schema(columns).json()), "buckets": buckets}
-        files.make_dir(self.spark, f"{self._path}/{name}/_claims")
-        files.make_dir(self.spark, f"{self._path}/{name}/_commits")
+        files.make_dir(self.spark, f"{self._path}/{name}")
         if not files.write_new(self.spark, f"{self._path}/{name}/_meta.json", json.dumps(meta)):
             raise FileExistsError(f"table {name} exists")
         return TsTable(self.spark, f"{self._path}/{name}")
