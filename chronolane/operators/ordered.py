@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronolane.session import shared_dir, written
+from chronolane.session import scratch_path, written
 
 ROWS_PER_PARTITION = 500_000
 DAY_MS = 86_400_000
@@ -32,10 +32,39 @@ def ordered_partitions(df: DataFrame, *by: str, partitions: int | None = None) -
     return df.repartitionByRange(n, *by).sortWithinPartitions(*by)
 
 
-def kept_partitions(df: DataFrame) -> DataFrame:
-    """The same partitions in the same order, read from reliable storage: several scans see identical partitions."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def kept_partitions(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """Range partitions written as sorted files, one per partition and of one row group each, with their number in ``_part``.
+
+    A file is never split, so a task reads a partition as one stretch of rows in order (and maybe several, one after the
+    other). Rows equal in ``by`` share a partition.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, what)
+    n = partition_count(df)
+    placed = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    placed.write.options(**{"compression": "zstd", "parquet.block.size": str(1 << 30)}).parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def arrival_cuts(rows: DataFrame, arrival: str, slices: int, **more: Column) -> tuple[list[int], Row]:
+    """Arrival times (microseconds) that cut the rows into ``slices`` of about equal size; with them other totals of the same pass."""
+    at = F.unix_micros(F.col(arrival).cast("timestamp"))
+    shares = [i / slices for i in range(1, slices)]
+    quantiles = F.percentile_approx(at, shares, 1000) if shares else F.array().cast("array<bigint>")
+    row = rows.agg(quantiles.alias("_cuts"), *[c.alias(n) for n, c in more.items()]).first()
+    return sorted(set(row["_cuts"] or [])), row
+
+
+def arrival_slices(rows: DataFrame, arrival: str, cuts: list[int]) -> list[DataFrame]:
+    """The rows parted at ``cuts``, in order of arrival; rows that came together stay together, a null arrival belongs to the first."""
+    at = F.unix_micros(F.col(arrival).cast("timestamp"))
+    out = []
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = F.lit(True) if lo is None else at > lo
+        if hi is not None:
+            part = part & (at <= hi if lo is not None else at.isNull() | (at <= hi))
+        out.append(rows.where(part))
+    return out
 
 
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:

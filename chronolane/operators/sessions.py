@@ -1,22 +1,26 @@
 """Sessions parted by silence, kept in an incremental session table.
 
 A batch is first reduced to local sessions, then merged with the stored ones: sessions that a new one touches or bridges
-become one, and the affected buckets are replaced by one atomic version change.
+become one, and the affected folders are replaced by one atomic version change.
 """
 
 from __future__ import annotations
 
-import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronolane.functions import poly_bucket
-from chronolane.session import scratch_path
+from chronolane.operators.ordered import DAY_MS, arrival_cuts, arrival_slices
+from chronolane.session import scratch_path, written
 from chronolane.sources import files
+from chronolane.sources.versions import Versions, fresh_name, sweep
 
 GAP_MS = 1_800_000
+PERIODS = 1024  # folders per bucket: periods are counted around, so any time has one
+ROWS_PER_BUCKET = 20_000_000
 SCHEMA = "vin string, ts_from bigint, ts_to bigint, n_rows bigint"
 
 
@@ -44,72 +48,82 @@ def local_sessions(rows: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
 
 
 class SessionTable:
-    """Stored sessions below a path of the shared file system, bucketed by entity; versions are switched atomically."""
-
-    def __init__(self, spark: SparkSession, path: str, gap_ms: int = GAP_MS, buckets: int = 16) -> None:
-        self.spark, self.path, self.gap_ms, self.buckets = spark, path.rstrip("/"), gap_ms, buckets
-        files.make_dir(spark, f"{self.path}/versions")
-
-    def version(self) -> tuple[int, dict[str, str]]:
-        """The newest version and, of each bucket, the folder that holds its sessions."""
-        numbers = [int(n.removesuffix(".json")) for n in files.names(self.spark, f"{self.path}/versions") if n.endswith(".json")]
-        if not numbers:
-            return 0, {}
-        return max(numbers), json.loads(files.read_text(self.spark, f"{self.path}/versions/{max(numbers)}.json"))
-
-    def _rows(self, folders: dict[str, str]) -> DataFrame:
-        paths = [f"{self.path}/{folder}/_bucket={b}" for b, folder in sorted(folders.items())]
-        paths = [p for p in paths if files.exists(self.spark, p)]
+    """Stored sessions below a path of the shared file system; versions are switched atomically (``sources.versions``).
+
+    Sessions lie in folders by entity hash and by period of their start. A version names each folder's place and the time its
+    sessions span, so a batch reads and rewrites only the folders that hold a session within the gap of a new one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, gap_ms: int = GAP_MS, buckets: int = 16, period_ms: int = DAY_MS) -> None:
+        self.spark, self.path, self.gap_ms, self.buckets, self.period_ms = spark, path.rstrip("/"), gap_ms, buckets, period_ms
+        self.versions = Versions(spark, f"{self.path}/_versions")
+
+    def _placed(self, sessions: DataFrame) -> DataFrame:
+        period = F.pmod(F.floor(F.col("ts_from") / F.lit(float(self.period_ms))), F.lit(PERIODS))
+        return sessions.withColumn("_dir", (poly_bucket(F.col("vin"), self.buckets) * PERIODS + period).cast("int"))
+
+    def _spans(self, placed: DataFrame) -> dict[str, list[int]]:
+        """Of each folder (at most buckets x PERIODS) the time from its first session's start to its last one's end."""
+        rows = placed.groupBy("_dir").agg(F.min("ts_from").alias("a"), F.max("ts_to").alias("b")).collect()
+        return {str(r["_dir"]): [r.a, r.b] for r in rows}
+
+    def _rows(self, dirs: dict[str, dict]) -> DataFrame:
+        paths = [f"{self.path}/data/{d['folder']}/_dir={n}" for n, d in sorted(dirs.items())]
         return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def read(self) -> DataFrame:
-        return self._rows(self.version()[1])
+        return self._rows(self.versions.read()[1].get("dirs", {}))
+
+    def _touched(self, new: dict[str, list[int]], stored: dict[str, dict]) -> set[str]:
+        """Stored folders whose sessions may lie within the gap of a new one, and those that new sessions start in."""
+        by_bucket: dict[int, list[list[int]]] = {}
+        for n, span in new.items():
+            by_bucket.setdefault(int(n) // PERIODS, []).append(span)
+        near = lambda s, e: s[0] <= e[1] + self.gap_ms and s[1] >= e[0] - self.gap_ms
+        return {n for n, d in stored.items() if n in new or any(near(d["span"], e) for e in by_bucket.get(int(n) // PERIODS, []))}
 
     def apply(self, batch: DataFrame) -> int:
-        """Merges a batch; only buckets with new rows are read and replaced. Gives the new version's number.
+        """Merges a batch and gives the new version's number.
 
-        Two writers can't both make version N: the second fails and must apply its batch again.
+        Sessions of the batch are compared with the stored ones in reach; those it touches or bridges become one. Every
+        attempt writes a folder of its own; if another writer was faster, the batch is merged with what it left.
         """
-        number, folders = self.version()
-        new = local_sessions(batch, self.gap_ms).withColumn("_bucket", poly_bucket(F.col("vin"), self.buckets))
-        folder = f"data-{number + 1}"
-        if not folders:
-            touched = {str(b) for b in range(self.buckets)}
-            merged = new
-        else:
-            staged = scratch_path(self.spark, "sessions")
-            new.write.partitionBy("_bucket").parquet(staged)
-            touched = {n.removeprefix("_bucket=") for n in files.names(self.spark, staged) if n.startswith("_bucket=")}
-            if not touched:
+        staged = written(self._placed(local_sessions(batch, self.gap_ms)), "sessions")
+        new = self._spans(staged)
+        while True:
+            number, state = self.versions.read()
+            if not new:
                 return number
-            old = self._rows({b: f for b, f in folders.items() if b in touched})
-            both = old.unionByName(self.spark.read.parquet(staged).select("vin", "ts_from", "ts_to", "n_rows"))
-            merged = _merged(both, self.gap_ms).withColumn("_bucket", poly_bucket(F.col("vin"), self.buckets))
-        merged.write.partitionBy("_bucket").mode("overwrite").parquet(f"{self.path}/{folder}")
-        folders = folders | {b: folder for b in touched}
-        if not files.write_new(self.spark, f"{self.path}/versions/{number + 1}.json", json.dumps(folders)):
-            raise RuntimeError(f"version {number + 1} was made by another writer")
-        return number + 1
-
-
-def arrival_slices(rows: DataFrame, arrival: str, slices: int) -> list[DataFrame]:
-    """The rows in ``slices`` parts of equal arrival time, in order; a null arrival belongs to the first."""
-    if slices < 2:
-        return [rows]
-    at = F.unix_micros(F.col(arrival).cast("timestamp"))
-    ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
-    if ends.lo is None or ends.lo == ends.hi:
-        return [rows]
-    width = (ends.hi - ends.lo) // slices + 1
-    no = F.coalesce(F.floor((at - F.lit(ends.lo)) / F.lit(width)).cast("int"), F.lit(0))
-    return [rows.where(no == i) for i in range(slices)]
+            stored = state.get("dirs", {})
+            touched = self._touched(new, stored)
+            old = self._rows({n: stored[n] for n in touched})
+            merged = _merged(old.unionByName(staged.drop("_dir")), self.gap_ms) if touched else staged.drop("_dir")
+            folder = fresh_name("s")
+            self._placed(merged).repartition("_dir").write.partitionBy("_dir").parquet(f"{self.path}/data/{folder}")
+            made = self._spans(self.spark.read.schema(f"{SCHEMA}, _dir int").parquet(f"{self.path}/data/{folder}"))
+            kept = {n: d for n, d in stored.items() if n not in touched}
+            if self.versions.commit(number + 1, {"dirs": kept | {n: {"folder": folder, "span": span} for n, span in made.items()}}):
+                return number + 1
+            files.delete(self.spark, f"{self.path}/data/{folder}")
+
+    def vacuum(self, older_than_s: float) -> int:
+        """Deletes folders no version needs and that are older than that."""
+        live = {d["folder"] for d in self.versions.read()[1].get("dirs", {}).values()}
+        self.versions.prune(older_than_s)
+        return sweep(self.spark, f"{self.path}/data", live, older_than_s)
 
 
 def sessions(rows: DataFrame, gap_ms: int = GAP_MS, arrival: str | None = None, slices: int = 2) -> DataFrame:
-    """(vin, ts_from, ts_to, duration_ms, n_rows) of all rows, through a session table fed slice by slice of arrival."""
-    table = SessionTable(rows.sparkSession, scratch_path(rows.sparkSession, "session-table"), gap_ms)
-    wanted = ["vin", "ts", *([arrival] if arrival else [])]
-    for part in arrival_slices(rows.select(*wanted), arrival, slices) if arrival else [rows.select(*wanted)]:
+    """(vin, ts_from, ts_to, duration_ms, n_rows) of all rows, through a session table fed in ``slices`` of arrival, equal in rows."""
+    spark = rows.sparkSession
+    wanted = rows.select("vin", "ts", *([arrival] if arrival else []))
+    parts, n = [wanted], None
+    if arrival:
+        cuts, totals = arrival_cuts(wanted, arrival, slices, n=F.count("*"))
+        parts, n = arrival_slices(wanted, arrival, cuts), totals.n
+    buckets = max(1, math.ceil((wanted.count() if n is None else n) / ROWS_PER_BUCKET))
+    table = SessionTable(spark, scratch_path(spark, "session-table"), gap_ms, buckets, 7 * DAY_MS)
+    for part in parts:
         table.apply(part)
     out = table.read()
     return out.select("vin", "ts_from", "ts_to", (F.col("ts_to") - F.col("ts_from")).alias("duration_ms"), "n_rows")

@@ -247,6 +247,39 @@ def test_session_table_bridges_and_versions(spark, folder):
     assert t.apply(spark.createDataFrame([], "vin string, ts bigint")) == 2
 
 
+def test_a_batch_rewrites_only_the_folders_it_reaches(spark, folder):
+    t = sessions.SessionTable(spark, folder, gap_ms=10_000, buckets=2, period_ms=DAY)
+    put = lambda *ts: t.apply(spark.createDataFrame([(v, x) for v in ("a", "b") for x in ts], "vin string, ts bigint"))
+    put(*(d * DAY + 5 for d in range(10)))
+    before = t.versions.read()[1]["dirs"]
+    put(4 * DAY + 500_000)
+    after = t.versions.read()[1]["dirs"]
+    changed = {n for n in after if after[n] != before.get(n)}
+    assert {int(n) % sessions.PERIODS for n in changed} == {4} and len(changed) < len(after)
+    assert t.read().count() == 22
+    # a session from one day into the next is found from either side
+    put(6 * DAY - 3000, 6 * DAY + 3000)
+    assert t.apply(spark.createDataFrame([("a", 6 * DAY - 12_000)], "vin string, ts bigint")) == 4
+    assert t.read().where(f"vin = 'a' AND ts_from = {6 * DAY - 12_000}").first().n_rows == 4
+    assert t.vacuum(10**6) == 0 and t.vacuum(-5) > 0 and t.read().count() == 22
+
+
+def test_two_session_writers(spark, folder, monkeypatch):
+    one, two = (sessions.SessionTable(spark, folder, gap_ms=10, buckets=2) for _ in range(2))
+    put = lambda t, *ts: t.apply(spark.createDataFrame([("a", x) for x in ts], "vin string, ts bigint"))
+    put(one, 0, 100)
+    real, left = two.versions.commit, [lambda: put(one, 10**9, 107)]
+
+    def late(number, state):
+        if left:
+            left.pop()()  # the other writer commits between this one's reading and committing
+        return real(number, state)
+
+    monkeypatch.setattr(two.versions, "commit", late)
+    assert put(two, 115, 5) == 3
+    assert rows_of(one.read()) == rows_of(two.read()) == [(1, 10**9, 10**9, "a"), (2, 0, 5, "a"), (3, 100, 115, "a")]
+
+
 # ---- 6
 def test_grid(spark):
     rng = random.Random(6)
