@@ -7,6 +7,7 @@ become one, and the affected folders are replaced by one atomic version change.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +69,16 @@ class SessionTable:
         return {str(r["_dir"]): [r.a, r.b] for r in rows}
 
     def _rows(self, dirs: dict[str, dict]) -> DataFrame:
-        paths = [f"{self.path}/data/{d['folder']}/_dir={n}" for n, d in sorted(dirs.items())]
-        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+        """One scan of the folders' files, however many versions they are from."""
+        if not dirs:
+            return self.spark.createDataFrame([], SCHEMA)
+        by_write: dict[str, list[int]] = {}
+        for n, d in dirs.items():
+            by_write.setdefault(d["folder"], []).append(int(n))
+        read = self.spark.read.schema(f"{SCHEMA}, _write string, _dir int").option("basePath", f"{self.path}/data")
+        live = [(F.col("_write") == w) & F.col("_dir").isin(ns) for w, ns in by_write.items()]
+        rows = read.parquet(*[f"{self.path}/data/_write={w}" for w in by_write]).where(reduce(lambda x, y: x | y, live))
+        return rows.drop("_write", "_dir")
 
     def read(self) -> DataFrame:
         return self._rows(self.versions.read()[1].get("dirs", {}))
@@ -99,16 +108,16 @@ class SessionTable:
             old = self._rows({n: stored[n] for n in touched})
             merged = _merged(old.unionByName(staged.drop("_dir")), self.gap_ms) if touched else staged.drop("_dir")
             folder = fresh_name("s")
-            self._placed(merged).repartition("_dir").write.partitionBy("_dir").parquet(f"{self.path}/data/{folder}")
-            made = self._spans(self.spark.read.schema(f"{SCHEMA}, _dir int").parquet(f"{self.path}/data/{folder}"))
+            self._placed(merged).repartition("_dir").write.partitionBy("_dir").parquet(f"{self.path}/data/_write={folder}")
+            made = self._spans(self.spark.read.schema(f"{SCHEMA}, _dir int").parquet(f"{self.path}/data/_write={folder}"))
             kept = {n: d for n, d in stored.items() if n not in touched}
             if self.versions.commit(number + 1, {"dirs": kept | {n: {"folder": folder, "span": span} for n, span in made.items()}}):
                 return number + 1
-            files.delete(self.spark, f"{self.path}/data/{folder}")
+            files.delete(self.spark, f"{self.path}/data/_write={folder}")
 
     def vacuum(self, older_than_s: float) -> int:
         """Deletes folders no version needs and that are older than that."""
-        live = {d["folder"] for d in self.versions.read()[1].get("dirs", {}).values()}
+        live = {f"_write={d['folder']}" for d in self.versions.read()[1].get("dirs", {}).values()}
         self.versions.prune(older_than_s)
         return sweep(self.spark, f"{self.path}/data", live, older_than_s)
 
@@ -122,7 +131,7 @@ def sessions(rows: DataFrame, gap_ms: int = GAP_MS, arrival: str | None = None,
         cuts, totals = arrival_cuts(wanted, arrival, slices, n=F.count("*"))
         parts, n = arrival_slices(wanted, arrival, cuts), totals.n
     buckets = max(1, math.ceil((wanted.count() if n is None else n) / ROWS_PER_BUCKET))
-    table = SessionTable(spark, scratch_path(spark, "session-table"), gap_ms, buckets, 7 * DAY_MS)
+    table = SessionTable(spark, scratch_path(spark, "session-table"), gap_ms, buckets, 28 * DAY_MS)
     for part in parts:
         table.apply(part)
     out = table.read()
