@@ -1,159 +1,197 @@
 """Totals over trailing days as versioned daily state.
 
-State holds, per entity and day, counts and sums over the trailing 7 and 30 days. It is advanced by joining yesterday's
-totals with today's arrivals and the expiring day's amounts; a whole history is built by the same recurrence over a gapless
-calendar; late rows change only the dates whose trailing period holds the corrected day. Sums are exact (BIGINT, DECIMAL),
-so that taking an amount out again leaves no rounding residue.
+State holds, per entity and date, counts and sums over the trailing 1, 7 and 30 days. ``RollingTable.advance`` joins it with new
+arrivals. An amount of day d is entered for the dates it counts in, d .. d + period - 1, when it arrives; so tomorrow's row
+already is yesterday's total without the expiring day's amounts, and an amount leaves without being subtracted. Sums of doubles
+can't be taken back exactly (1e33 + 1e-7 - 1e33 is 0), adding is all that happens here. Late rows change the dates they reach
+and no others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronolane.functions import finite
-from chronolane.operators.ordered import DAY_MS
-from chronolane.session import written
+from chronolane.operators.ordered import DAY_MS, arrival_cuts, arrival_slices
+from chronolane.session import scratch_path, written
+from chronolane.sources import files
+from chronolane.sources.versions import Versions, fresh_name, sweep
 
 PERIODS = (7, 30)
-MEASURES = {"rlxhl": "bigint", "zdl": "decimal(38,6)"}
-AMOUNTS = ["n", *[f"{p}_{m}" for m in MEASURES for p in ("sum", "cnt")]]
+REACH = (1, *PERIODS)
+MEASURES = {"rlxhl": "bigint", "zdl": "double"}
+AMOUNTS = {"n": "bigint", **{f"{p}_{m}": k if p == "sum" else "bigint" for m, k in MEASURES.items() for p in ("sum", "cnt")}}
+TOTALS = {f"{a}_{p}": k for p in REACH for a, k in AMOUNTS.items()}
+STATE = "vin string, day_no int, " + ", ".join(f"{c} {k}" for c, k in TOTALS.items())
+SEEN = "vin string, day_no int, h1 bigint, h2 bigint"
+BLOCK_DAYS, FOLDERS = 32, 1024  # dates of a folder; blocks are counted around, so any date has a folder
+PIECE = 1024  # days of a long gap made by one generated row
 
 
-def _zero(name: str) -> Column:
-    kind = MEASURES[name[4:]] if name.startswith("sum_") else "bigint"
+def _zero(kind: str) -> Column:
     return F.lit(0).cast(kind)
 
 
-def _kind(name: str) -> str:
-    return MEASURES[name[4:]] if name.startswith("sum_") else "bigint"
+def _folder(day: Column) -> Column:
+    return F.pmod(F.floor(day / F.lit(float(BLOCK_DAYS))), F.lit(FOLDERS)).cast("int")
 
 
-def daily_amounts(rows: DataFrame, arrival: str | None = None, cutoff: Column | None = None) -> DataFrame:
-    """Per (vin, day_no) the amounts of distinct rows: ``n``, and sum and count of each measure.
+def distinct_rows(rows: DataFrame, arrival: str | None = None) -> DataFrame:
+    """(vin, day_no, h1, h2, measures): rows alike in all but ``arrival`` once, known by 128 bits of hash of all other columns.
 
-    Rows alike in all but ``arrival`` count once. Null vin or ts: ignored. Null, NaN and infinite cells are no values; so
-    are doubles beyond 1e31. With ``cutoff`` there is also ``was``: the amounts of rows that first arrived by then.
+    Null vin or ts: ignored. Null, NaN and infinite cells are no values. Copies are reduced before the shuffle, and what is
+    shuffled is a few numbers a row, spread by hash, however hot an entity or a day is.
     """
+    rest = [c for c in rows.columns if c != arrival]
+    # a null is told from any value and from a null in another column
+    cells = [x for i, c in enumerate(rest) for x in (F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNull(), F.lit(i)))]
+    day = F.floor(F.col("ts") / F.lit(float(DAY_MS))).cast("int").alias("day_no")
+    values = [(F.col(m).cast("bigint") if k == "bigint" else finite(F.col(m))).alias(m) for m, k in MEASURES.items()]
     keyed = rows.where(F.col("vin").isNotNull() & F.col("ts").isNotNull())
-    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != arrival]).alias("_row")
-    came = F.col(arrival) if arrival else F.lit(None).cast("timestamp_ntz")
-    distinct = keyed.select(whole, came.alias("_came")).groupBy("_row").agg(F.min("_came").alias("_first"))
-    distinct = distinct.select("_first", *[F.col(f"_row.{c}") for c in ("vin", "ts", *MEASURES)])
-    day = ((F.col("ts") - F.pmod("ts", F.lit(DAY_MS))) / DAY_MS).cast("int").alias("day_no")
-    cells = [F.col(m).cast("bigint").alias(m) if k == "bigint" else finite(F.col(m)).try_cast(k).alias(m) for m, k in MEASURES.items()]
-    known = F.lit(True) if cutoff is None else F.coalesce(F.col("_first") <= cutoff, F.lit(True))
-    plain = distinct.select("vin", day, *cells, known.alias("_known"))
+    keyed = keyed.select("vin", day, F.xxhash64(*cells).alias("h1"), F.xxhash64(F.lit(7), *reversed(cells)).alias("h2"), *values)
+    return keyed.groupBy("vin", "day_no", "h1", "h2").agg(*[F.max(m).alias(m) for m in MEASURES])
 
-    def amounts(pick: Column) -> list[Column]:
-        out = [F.sum(F.when(pick, 1).otherwise(0)).cast("bigint").alias("n")]
-        for m, k in MEASURES.items():
-            out += [F.coalesce(F.sum(F.when(pick, F.col(m))).cast(k), F.lit(0).cast(k)).alias(f"sum_{m}"), F.count(F.when(pick, F.col(m))).alias(f"cnt_{m}")]
-        return out
 
-    aggs = amounts(F.lit(True))
-    if cutoff is not None:
-        aggs.append(F.struct(*amounts(F.col("_known"))).alias("was"))
-    return plain.groupBy("vin", "day_no").agg(*aggs)
+def daily_amounts(distinct: DataFrame) -> DataFrame:
+    """Per (vin, day_no): ``n``, and sum and count of each measure."""
+    aggs = [F.count("*").alias("n")]
+    for m, k in MEASURES.items():
+        aggs += [F.coalesce(F.sum(m).cast(k), _zero(k)).alias(f"sum_{m}"), F.count(m).alias(f"cnt_{m}")]
+    return distinct.groupBy("vin", "day_no").agg(*aggs)
 
 
-def calendar(daily: DataFrame) -> DataFrame:
-    """Every day of each entity from its first to its last day with rows."""
-    ends = daily.where(F.col("n") > 0).groupBy("vin").agg(F.min("day_no").alias("a"), F.max("day_no").alias("b"))
-    return ends.select("vin", F.explode(F.sequence("a", "b")).alias("day_no"))
+def entered(daily: DataFrame) -> DataFrame:
+    """Daily amounts entered for every date they count in: (vin, day_no, totals), several rows per date."""
+    dates = daily.select("vin", F.explode(F.sequence(F.col("day_no"), F.col("day_no") + max(REACH) - 1)).alias("day_no"), F.col("day_no").alias("_of"), *AMOUNTS)
+    counts = {f"{a}_{p}": F.when(F.col("day_no") < F.col("_of") + p, F.col(a)).otherwise(_zero(k)) for p in REACH for a, k in AMOUNTS.items()}
+    return dates.select("vin", "day_no", *[c.alias(n) for n, c in counts.items()])
 
 
-def _totals(name: str, period: int) -> str:
-    return f"{name}_{period}"
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("vin", "day_no").agg(*[F.sum(c).cast(k).alias(c) for c, k in TOTALS.items()])
 
 
-def advance(yesterday: DataFrame, arrivals: DataFrame, expiring: DataFrame, day_no: int, period: int) -> DataFrame:
-    """Totals of ``day_no``: yesterday's, plus the day's arrivals, less the amounts of day ``day_no - period``.
+class RollingTable:
+    """Stored state below a path of the shared file system: totals in folders of 32 dates, hashes of the rows they are made of.
 
-    All three are (vin, amounts...), at most one row per entity; entities whose totals become empty are left out.
+    A version names the folder that each block of dates lies in. Advancing reads and rewrites the blocks that arrivals reach,
+    in folders of its own; the next version makes them visible at once.
     """
-    parts = [yesterday.select("vin", *AMOUNTS), arrivals.select("vin", *AMOUNTS)]
-    parts.append(expiring.select("vin", *[(-F.col(a)).cast(_kind(a)).alias(a) for a in AMOUNTS]))
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    sums = both.groupBy("vin").agg(*[F.sum(a).cast(_kind(a)).alias(a) for a in AMOUNTS])
-    return sums.where(F.col("n") > 0).withColumn("day_no", F.lit(day_no))
-
-
-def backfill(daily: DataFrame, tail: int = max(PERIODS) - 1) -> DataFrame:
-    """State of a whole history: the recurrence of ``advance`` unrolled over a gapless calendar per entity.
 
-    Row offsets are day offsets in a gapless calendar, so the expiring amount is a lag, and the totals are running sums of
-    arrivals less expiries. The calendar runs ``tail`` days on, until the last amount has expired. Rows per entity are
-    bounded by its days.
-    """
-    ends = daily.where(F.col("n") > 0).groupBy("vin").agg(F.min("day_no").alias("a"), F.max("day_no").alias("b"))
-    days = ends.select("vin", F.explode(F.sequence(F.col("a"), F.col("b") + tail)).alias("day_no"))
-    filled = days.join(daily.select("vin", "day_no", *AMOUNTS), ["vin", "day_no"], "left").na.fill(0, ["n", *[f"cnt_{m}" for m in MEASURES]])
-    filled = filled.withColumns({f"sum_{m}": F.coalesce(f"sum_{m}", _zero(f"sum_{m}")) for m in MEASURES})
-    order = Window.partitionBy("vin").orderBy("day_no")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    change = {_totals(a, p): (F.col(a) - F.coalesce(F.lag(a, p).over(order), _zero(a))).cast(_kind(a)) for p in PERIODS for a in AMOUNTS}
-    deltas = filled.withColumns(change)
-    state = deltas.select("vin", "day_no", *[F.sum(c).over(upto).cast(_kind(c.rpartition("_")[0])).alias(c) for c in change])
-    return state.where(F.col(_totals("n", max(PERIODS))) > 0)
-
-
-def corrected(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """A new version of the state after corrections: (vin, day_no, amounts) to be added, negative ones included.
-
-    A change of day d reaches the dates d .. d + period - 1 and no others; all other rows are carried over as they are.
-    """
-    reach = max(PERIODS)
-    spread = changes.select("vin", F.explode(F.sequence(F.col("day_no"), F.col("day_no") + reach - 1)).alias("day_no"), F.col("day_no").alias("_of"), *AMOUNTS)
-    moved = spread.select(
-        "vin", "day_no", *[F.when(F.col("day_no") < F.col("_of") + p, F.col(a)).otherwise(_zero(a)).cast(_kind(a)).alias(_totals(a, p)) for p in PERIODS for a in AMOUNTS]
-    )
-    names = [c for c in state.columns if c not in ("vin", "day_no")]
-    both = state.unionByName(moved.select("vin", "day_no", *names))
-    sums = both.groupBy("vin", "day_no").agg(*[F.sum(c).cast(_kind(c.rpartition("_")[0])).alias(c) for c in names])
-    return sums.where(F.col(_totals("n", reach)) > 0)
-
-
-def rolling_totals(rows: DataFrame, arrival: str | None = None, lateness_days: int = 7) -> DataFrame:
-    """One row per entity and day from its first to its last day with rows, days without rows included.
-
-    Columns: ``vin, day_no``, per period p ``n_p`` and per measure m ``sum_m_p`` (0 without values), ``avg_m_p`` (null without
-    values), and ``gap_days``: length of the stretch of days without rows that the day lies in, 0 on a day with rows.
-    Rows that came in the last ``lateness_days`` of arrival are applied as corrections to the first version of the state.
-    An empty table gives no rows.
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.versions = Versions(spark, f"{self.path}/_versions")
+
+    def _scan(self, what: str, schema: str, live: dict[str, list[str]], only: set[str] | None = None) -> DataFrame:
+        """One scan of the live (write, folder) pairs, of ``only`` some folders."""
+        by_write: dict[str, list[int]] = {}
+        for folder, writes in live.items():
+            for w in writes if only is None or folder in only else []:
+                by_write.setdefault(w, []).append(int(folder))
+        if not by_write:
+            return self.spark.createDataFrame([], schema)
+        read = self.spark.read.schema(f"{schema}, _write string, _dir int").option("basePath", f"{self.path}/{what}")
+        pairs = [(F.col("_write") == w) & F.col("_dir").isin(ds) for w, ds in by_write.items()]
+        return read.parquet(*[f"{self.path}/{what}/_write={w}" for w in by_write]).where(reduce(lambda x, y: x | y, pairs)).drop("_write", "_dir")
+
+    def read(self) -> DataFrame:
+        """Totals per entity and date, of every date a row counts in (up to 29 days after it)."""
+        return self._scan("totals", STATE, self.versions.read()[1].get("totals", {}))
+
+    def _keep(self, df: DataFrame, what: str, write: str) -> set[str]:
+        """Writes rows by folder; gives the folders there are."""
+        path = f"{self.path}/{what}/_write={write}"
+        df.withColumn("_dir", _folder(F.col("day_no"))).repartition("_dir", F.pmod(F.xxhash64("vin"), F.lit(64))).write.partitionBy("_dir").parquet(path)
+        return {n.removeprefix("_dir=") for n in files.names(self.spark, path) if n.startswith("_dir=")}
+
+    def advance(self, batch: DataFrame, arrival: str | None = None) -> int:
+        """Joins the stored state with a batch's arrivals and gives the new version's number.
+
+        Arrivals may be of today, of any later day, or late (corrections): only blocks with dates they reach are read and
+        rewritten. Rows that a former batch brought already count for nothing. If another writer was faster, its version is
+        joined instead.
+        """
+        came, kept = distinct_rows(batch, arrival), False
+        while True:
+            number, state = self.versions.read()
+            totals, seen = state.get("totals", {}), state.get("seen", {})
+            write = fresh_name("r")
+            if seen:
+                came, kept = (came if kept else written(came, "arrivals")), True
+                days = {str(r[0]) for r in came.select(_folder(F.col("day_no"))).distinct().collect()}  # at most FOLDERS
+            new = came
+            if seen:
+                new = came.join(self._scan("seen", SEEN, seen, days), ["vin", "day_no", "h1", "h2"], "left_anti")
+            fresh_in = self._keep(new.select("vin", "day_no", "h1", "h2", *MEASURES), "seen", write)
+            if not fresh_in:
+                return number
+            fresh = self.spark.read.schema(f"{SEEN}, " + ", ".join(f"{m} {k}" for m, k in MEASURES.items())).parquet(f"{self.path}/seen/_write={write}")
+            moved = entered(daily_amounts(fresh))
+            # an amount reaches the next 29 dates, so at most the block after its own
+            reached = fresh_in | {str((int(d) + 1) % FOLDERS) for d in fresh_in}
+            old = {d for d in reached if d in totals}
+            joined = _summed(self._scan("totals", STATE, totals, old).unionByName(moved) if old else moved)
+            made = self._keep(joined, "totals", write)
+            after = {d: w for d, w in totals.items() if d not in old} | {d: [write] for d in made}
+            if self.versions.commit(number + 1, {"totals": after, "seen": seen | {d: [*seen.get(d, []), write] for d in fresh_in}}):
+                return number + 1
+            for what in ("totals", "seen"):
+                files.delete(self.spark, f"{self.path}/{what}/_write={write}")
+
+    def vacuum(self, older_than_s: float) -> int:
+        """Deletes totals no version needs and that are older than that."""
+        live = {f"_write={w}" for ws in self.versions.read()[1].get("totals", {}).values() for w in ws}
+        self.versions.prune(older_than_s)
+        return sweep(self.spark, f"{self.path}/totals", live, older_than_s)
+
+
+def with_quiet_days(state: DataFrame, longest_gap: int | None = None) -> DataFrame:
+    """One row per entity and day from its first to its last day with rows.
+
+    Columns: ``vin, day_no``, per period p ``n_p`` and per measure m ``sum_m_p`` (0 without values), ``cnt_m_p``, ``avg_m_p`` (null
+    without values), and ``gap_days``: length of the stretch of days without rows that the day lies in, 0 on a day with rows. Days of
+    stretches longer than ``longest_gap`` are left out, before they are made.
     """
-    cutoff = None
-    if arrival:
-        newest = rows.agg(F.max(arrival).alias("t")).first().t
-        cutoff = None if newest is None else F.lit(newest) - F.expr(f"interval {lateness_days} days")
-    daily = written(daily_amounts(rows, arrival, cutoff), "daily")
-    if cutoff is None:
-        state = backfill(daily)
-    else:
-        first = daily.select("vin", "day_no", "was.*").where(F.col("n") > 0)
-        version0 = written(backfill(first), "rolling-v0")
-        changes = daily.select("vin", "day_no", *[(F.col(a) - F.col(f"was.{a}")).cast(_kind(a)).alias(a) for a in AMOUNTS]).where(F.col("n") != 0)
-        state = corrected(version0, changes)
-    active = daily.where(F.col("n") > 0).select("vin", "day_no", F.lit(True).alias("_active"))
-    days = calendar(daily).join(active, ["vin", "day_no"], "left").join(state, ["vin", "day_no"], "left")
-    order = Window.partitionBy("vin").orderBy("day_no")
-    held = F.when(F.col("_active"), F.col("day_no"))
-    before = F.last(held, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(held, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    active = state.where(F.col("n_1") > 0).select("vin", "day_no")
+    follow = F.lead("day_no").over(Window.partitionBy("vin").orderBy("day_no"))  # days of one entity
+    spans = active.select("vin", F.col("day_no").alias("_a"), (F.coalesce(follow, F.col("day_no") + 1) - 1).alias("_b"))
+    if longest_gap is not None:
+        spans = spans.withColumn("_b", F.when(F.col("_b") - F.col("_a") > longest_gap, F.col("_a")).otherwise(F.col("_b")))
+    pieces = spans.select("*", F.explode(F.sequence("_a", "_b", F.lit(PIECE))).alias("_from"))
+    days = pieces.select("vin", "_a", "_b", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + PIECE - 1, F.col("_b")))).alias("day_no"))
+    full = days.join(state, ["vin", "day_no"], "left")
     out = [F.col("vin"), F.col("day_no")]
     for p in PERIODS:
-        out.append(F.coalesce(_totals("n", p), F.lit(0)).cast("bigint").alias(f"n_{p}"))
+        out.append(F.coalesce(f"n_{p}", F.lit(0)).cast("bigint").alias(f"n_{p}"))
         for m in MEASURES:
-            total, count = F.col(_totals(f"sum_{m}", p)).cast("double"), F.col(_totals(f"cnt_{m}", p))
+            total, count = F.col(f"sum_{m}_{p}").cast("double"), F.col(f"cnt_{m}_{p}")
             out.append(F.coalesce(total, F.lit(0.0)).alias(f"sum_{m}_{p}"))
-            out.append(F.round(total / F.nullif(count, F.lit(0)), 9).alias(f"avg_{m}_{p}"))
-    out.append(F.greatest(after - before - 1, F.lit(0)).cast("int").alias("gap_days"))
-    return days.select(*out)
+            out.append(F.coalesce(count, F.lit(0)).cast("bigint").alias(f"cnt_{m}_{p}"))
+            out.append((total / F.nullif(count, F.lit(0))).alias(f"avg_{m}_{p}"))
+    out.append(F.when(F.col("day_no") == F.col("_a"), 0).otherwise(F.col("_b") - F.col("_a")).cast("int").alias("gap_days"))
+    return full.select(*out)
+
+
+def rolling_state(rows: DataFrame, arrival: str | None = None, slices: int = 2) -> DataFrame:
+    """State of a whole history, advanced by ``slices`` of its arrival, equal in rows. An empty table gives no rows."""
+    table = RollingTable(rows.sparkSession, scratch_path(rows.sparkSession, "rolling"))
+    parts = arrival_slices(rows, arrival, arrival_cuts(rows, arrival, slices)[0]) if arrival else [rows]
+    for part in parts:
+        table.advance(part, arrival)
+    return table.read()
+
+
+def rolling_totals(rows: DataFrame, arrival: str | None = None, slices: int = 2) -> DataFrame:
+    """``with_quiet_days`` of a whole history, days without rows included."""
+    return with_quiet_days(rolling_state(rows, arrival, slices))
 
 
-def quiet_days(totals: DataFrame, absence_days: int = 50) -> DataFrame:
+def quiet_days(rows: DataFrame, arrival: str | None = None, absence_days: int = 50, slices: int = 2) -> DataFrame:
     """(vin, day_no, trail_days): days whose trailing period holds no row, stretches of ``absence_days`` and more left out."""
-    near = totals.where(F.col("gap_days") < absence_days)
+    near = with_quiet_days(rolling_state(rows, arrival, slices), absence_days - 1)
     flags = F.array(*[F.struct(F.lit(p).alias("trail_days"), (F.col(f"n_{p}") == 0).alias("quiet")) for p in PERIODS])
     return near.select("vin", "day_no", F.explode(flags).alias("f")).where("f.quiet").select("vin", "day_no", "f.trail_days")

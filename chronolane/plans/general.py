@@ -33,7 +33,7 @@ add(
 # ---- 3: rolling totals
 _DAILY = """WITH r AS (SELECT DISTINCT vin, ts, yxms, ljlc, rlxhl, zdl, clzt FROM trip_rows WHERE vin IS NOT NULL AND ts IS NOT NULL),
  d AS (SELECT vin, CAST(floor(ts / 86400000.0) AS INTEGER) AS day_no, count(*) AS n, coalesce(sum(rlxhl), 0) AS sr, count(rlxhl) AS cr,
-   coalesce(sum(CAST(CASE WHEN isfinite(zdl) THEN zdl END AS DECIMAL(38,6))), 0) AS sz, count(CASE WHEN isfinite(zdl) THEN 1 END) AS cz FROM r GROUP BY 1, 2),
+   coalesce(sum(CASE WHEN isfinite(zdl) THEN zdl END), 0) AS sz, count(CASE WHEN isfinite(zdl) THEN 1 END) AS cz FROM r GROUP BY 1, 2),
  e AS (SELECT vin, min(day_no) AS a, max(day_no) AS b FROM d GROUP BY vin),
  c AS (SELECT vin, CAST(unnest(range(a, b + 1)) AS INTEGER) AS day_no FROM e),
  g AS (SELECT c.vin, c.day_no, max(CASE WHEN d.n > 0 THEN d.day_no END) OVER (PARTITION BY c.vin ORDER BY c.day_no) AS p,
@@ -42,18 +42,22 @@ _DAILY = """WITH r AS (SELECT DISTINCT vin, ts, yxms, ljlc, rlxhl, zdl, clzt FRO
 for _p in (7, 30):
     _in = f"FILTER (d.day_no > g.day_no - {_p})"
     _DAILY += f"""CAST(coalesce(sum(n) {_in}, 0) AS BIGINT) AS n_{_p}, CAST(coalesce(sum(sr) {_in}, 0) AS DOUBLE) AS sum_rlxhl_{_p},
-   round(CAST(sum(sr) {_in} AS DOUBLE) / nullif(sum(cr) {_in}, 0), 9) AS avg_rlxhl_{_p}, CAST(coalesce(sum(sz) {_in}, 0) AS DOUBLE) AS sum_zdl_{_p},
-   round(CAST(sum(sz) {_in} AS DOUBLE) / nullif(sum(cz) {_in}, 0), 9) AS avg_zdl_{_p}{"," if _p == 7 else ""} """
+   CAST(coalesce(sum(cr) {_in}, 0) AS BIGINT) AS cnt_rlxhl_{_p}, CAST(coalesce(sum(cz) {_in}, 0) AS BIGINT) AS cnt_zdl_{_p},
+   round(CAST(sum(sr) {_in} AS DOUBLE) / nullif(sum(cr) {_in}, 0), 9) AS avg_rlxhl_{_p}, round(coalesce(sum(sz) {_in}, 0), 6) AS sum_zdl_{_p},
+   round(round(sum(sz) {_in}, 6) / nullif(sum(cz) {_in}, 0), 9) AS avg_zdl_{_p}{"," if _p == 7 else ""} """
 _DAILY += "FROM g LEFT JOIN d ON d.vin = g.vin AND d.day_no <= g.day_no AND d.day_no > g.day_no - 30 GROUP BY g.vin, g.day_no, g.p, g.q)"
 
 
 def _totals(spark, d):
-    return rolling.rolling_totals(table(spark, d, "trip_rows"), "recv_at")
+    """Sums of doubles to six digits, their last ones depend on the order of adding; averages from them."""
+    made = rolling.rolling_totals(table(spark, d, "trip_rows"), "recv_at")
+    made = made.withColumns({f"sum_zdl_{p}": F.round(f"sum_zdl_{p}", 6) for p in rolling.PERIODS})
+    return made.withColumns({f"avg_{m}_{p}": F.round(F.col(f"sum_{m}_{p}") / F.nullif(F.col(f"cnt_{m}_{p}"), F.lit(0)), 9) for m in rolling.MEASURES for p in rolling.PERIODS})
 
 
 add(
     "p3_found",
-    lambda spark, d: rolling.quiet_days(_totals(spark, d)),
+    lambda spark, d: rolling.quiet_days(table(spark, d, "trip_rows"), "recv_at"),
     f"{_DAILY} SELECT vin, day_no, CAST(x AS INTEGER) AS trail_days FROM (SELECT *, unnest([7, 30]) AS x FROM t) WHERE gap_days < 50 AND CASE x WHEN 7 THEN n_7 ELSE n_30 END = 0",
 )
 add("p3_rolling", _totals, f"{_DAILY} SELECT * FROM t")
