@@ -32,7 +32,7 @@ def ordered_partitions(df: DataFrame, *by: str, partitions: int | None = None) -
     return df.repartitionByRange(n, *by).sortWithinPartitions(*by)
 
 
-def kept_partitions(df: DataFrame, what: str, *by: str) -> DataFrame:
+def kept_partitions(df: DataFrame, what: str, *by: str, partitions: int | None = None) -> DataFrame:
     """Range partitions written as sorted files, one per partition and of one row group each, with their number in ``_part``.
 
     A file is never split, so a task reads a partition as one stretch of rows in order (and maybe several, one after the
@@ -40,7 +40,7 @@ def kept_partitions(df: DataFrame, what: str, *by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    n = partition_count(df)
+    n = partitions or partition_count(df)
     placed = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
     placed.write.options(**{"compression": "zstd", "parquet.block.size": str(1 << 30)}).parquet(path)
     return spark.read.schema(placed.schema).parquet(path)

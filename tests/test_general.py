@@ -208,16 +208,14 @@ def test_rolling_of_nothing(spark):
 
 # ---- 4
 def sensor_rows(rng, n):
-    """Excursions of one to three rows (four: no excursion), well apart: what lies between two of them is no excursion."""
-    out, level, left = [], defaultdict(lambda: 50.0), defaultdict(int)
+    """Random walks with spikes as close as may be, ramps, frozen stretches, and several readings at one time."""
+    out, level = [], defaultdict(lambda: 50.0)
     for i in range(n):
         v = vin(rng, 2)
-        if i % 60 == 0:
-            left[v] = 1 + i // 60 % 4
-        off = 90 + rng.random() if left[v] > 0 else 0
-        left[v] -= 1
-        level[v] = min(max(level[v] + rng.choice([0, 0.5, -0.5, 1]), 20), 60)
-        r = (v, i * 1000, rng.choice([level[v] + off / 3, None, float("nan"), 120.0, level[v] + off / 3]), round(300 + rng.random(), 2) + off, 7.0 if 50 < i % 200 < 170 else float(i % 13), float("inf") if i % 97 == 0 else 20 + rng.randrange(9) * 0.01, 1, "e")
+        at = (i - i % 3 if rng.random() < 0.2 else i) * 1000
+        off = 90 + rng.random() if rng.random() < 0.12 else 0
+        level[v] = min(max(level[v] + rng.choice([0, 0.5, -0.5, 1]), 20), 60) if 400 > i or i > 420 else level[v] + 9
+        r = (v, at, rng.choice([level[v] + off / 3, None, float("nan"), 120.0, level[v] + off / 3]), round(300 + rng.random(), 2) + off, 7.0 if 50 < i % 200 < 170 else float(i % 13) + off, float("inf") if i % 97 == 0 else 20 + rng.randrange(9) * 0.01, 1, "e")
         out += [r] * rng.choice([1, 1, 1, 2])
     rng.shuffle(out)
     return [*out, (None, 1, 500.0, 1.0, 1.0, 1.0, 1, "e"), ("x", None, 500.0, 1.0, 1.0, 1.0, 1, "e")]
@@ -266,17 +264,30 @@ def test_implausible(spark, monkeypatch, partitions, known):
     assert {(r.vin, r.ts, r.field) for r in got.collect()} == implausible_by_hand(rows)
 
 
-def test_where_the_screen_departs_from_the_literal_reading():
-    """Known difference: readings caught between excursions, and points of a steep ramp, lie on the rolling median.
-
-    Each differs from the readings around it by any multiple of the median change, so a literal reading of the definition
-    would flag them; the Hampel screen does not.
-    """
-    flat = np.array([5.0, 5.1] * 10)
-    caught = flat.copy()
-    caught[[8, 11]] = 99.0
-    assert np.flatnonzero(spikes.excursions(caught) > 10).tolist() == [8, 11]  # not 9 and 10
-    assert not (spikes.excursions(np.r_[flat, 50.0, 99.0, flat + 140]) > 10)[:21].any()
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_close_excursions_ramps_and_ties(spark, partitions):
+    """Readings between two excursions and points of a ramp count by the letter; at one time readings go in order of value."""
+    flat = [5.0, 5.1] * 12
+    caught = flat[:]
+    caught[8] = caught[10] = caught[12] = 99.0
+    ramp = [*flat, 50.0, 99.0, 140.0, *flat]
+    rows = [("caught", i, None, x, None, None, 1, "e") for i, x in enumerate(caught)] + [("ramp", i, None, x, None, None, 1, "e") for i, x in enumerate(ramp)]
+    rows += [("tied", i, 50.0 + i % 3, None, 1.5, None, 1, "e") for i in range(25)] + [("tied", 24, 1.0, None, 1.5, None, 1, "e"), ("tied", 24, 90.0, None, 1.5, 3.0, 1, "e"), ("tied", 12, 50.0, None, -7.0, 2.0, 1, "e")]
+    got = {(r.vin, r.ts, r.field) for r in spikes.implausible(spark.createDataFrame(rows, SENSOR), partitions).collect()}
+    assert got == implausible_by_hand(rows)
+    assert {t for v, t, _ in got if v == "caught"} == {8, 9, 10, 11, 12} and ("tied", 24, "zdl") not in got
+    held = [("h", i, None, None, 1.5, float(i), 1, "e") for i in range(25)] + [("h", 24, None, None, 1.5, -1.0, 1, "e")]
+    assert sum(r.field == "zdl" for r in spikes.implausible(spark.createDataFrame(held, SENSOR), partitions).collect()) == 25
+
+
+def test_rolling_median():
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 9, 300).astype(float)
+    padded = np.r_[[v[0]] * 3, v, [v[-1]] * 3]
+    assert (spikes.rolling_median(v) == [np.median(padded[i : i + 7]) for i in range(300)]).all()
+    x = np.r_[5e-324, 10.0 ** rng.uniform(-300, 300, 500)]
+    low, beyond = spikes.cell_bounds(spikes.cell_of(x), spikes.cell_of(x))
+    assert (low <= x).all() and (x < beyond).all() and (beyond[1:] < 1.01 * low[1:]).all()
 
 
 def test_implausible_corner_cases(spark):
@@ -291,8 +302,11 @@ def test_implausible_corner_cases(spark):
 def test_median_changes(spark):
     rng = random.Random(3)
     data = {v: [abs(rng.gauss(0, 10**k)) + 1e-9 for _ in range(m)] for k, (v, m) in enumerate([("a", 101), ("b", 100), ("c", 1), ("d", 2)])}
-    df = spark.createDataFrame([(v, "f", x, 1) for v, xs in data.items() for x in xs], "vin string, field string, v double, n bigint")
-    got = {r.vin: r["median"] for r in spikes.median_changes(df).collect()}
+    flat = [(v, "f", x, 1, int(spikes.cell_of(np.array([x]))[0])) for v, xs in data.items() for x in xs]
+    df = spark.createDataFrame(flat, "vin string, field string, v double, n bigint, cell bigint")
+    middle = spikes.middle_cells(df)
+    near = df.join(middle, ["vin", "field"]).where("cell = low OR cell = high").select("vin", "field", "v", "n")
+    got = {r.vin: r["median"] for r in spikes.exact_medians(near, middle).collect()}
     assert got == pytest.approx({v: float(np.median(xs)) for v, xs in data.items()})
 
 
