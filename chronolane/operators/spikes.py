@@ -322,12 +322,12 @@ def implausible(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     hole = F.coalesce((~new_part & (F.lag("pos").over(order) + 1 != F.col("pos"))).cast("int"), F.lit(0))
     stretches = edges.withColumn("hole", hole).withColumn("seg", F.sum("hole").over(order)).join(middle.select("vin", "field", "low"), ["vin", "field"], "left")
     stretches = stretches.select("vin", "field", "kind", "seg", "part", "pos", "ts", "v", "low")
-    seams = stretches.groupBy("vin", "field", "kind", "seg").applyInPandas(seam_flags, "kind string, vin string, ts bigint, field string, v double, margin double")
+    seams = written(stretches.groupBy("vin", "field", "kind", "seg").applyInPandas(seam_flags, "kind string, vin string, ts bigint, field string, v double, margin double"), "seams")
     wide = middle.groupBy("vin").agg(*[F.max(F.when(F.col("field") == f, F.col(x))).alias(f"_{x}_{f}") for f in fields for x in ("low", "high")])
     scanned = written(_judged(kept, wide).mapInArrow(scan_flags, SCAN).select("kind", "vin", "ts", "field", "v", "margin", "n"), "flags")
     found = scanned.drop("n").where("kind <> 'middle'").unionByName(seams)
     near = across.join(middle, ["vin", "field"]).where((F.col("cell") == F.col("low")) | (F.col("cell") == F.col("high"))).select("vin", "field", "v", "n")
-    unsure = written(found.where("kind = 'unsure'"), "unsure")
+    unsure = found.where("kind = 'unsure'")
     open_sources = unsure.select("vin", "field").distinct()
     medians = exact_medians(scanned.where("kind = 'middle'").select("vin", "field", "v", "n").unionByName(near).join(open_sources, ["vin", "field"], "left_semi"), middle)
     decided = unsure.join(medians, ["vin", "field"]).where(F.col("margin") > TIMES_MEDIAN * F.col("median")).drop("median").withColumn("kind", F.lit("excursion"))
