@@ -42,6 +42,17 @@ _VALUES = """WITH v AS (SELECT vin, CAST(floor(ts / 86400000.0) AS INTEGER) AS d
 add("p7_percentiles", lambda spark, d: quantiles.percentiles(table(spark, d, "azkp_rows"), _AZKP))
 add("p7_bounds", _bounds, f"{_VALUES} SELECT vin, day_no, field, count(*) AS n, true AS within FROM v GROUP BY ALL UNION ALL SELECT vin, CAST(NULL AS INTEGER), field, count(*), true FROM v GROUP BY vin, field")
 
+_GROUPED = f"""{_VALUES.replace("'azkp' AS field", "'azkp' AS field, CAST(azkp AS DOUBLE) AS x").replace("'qddjzj' FROM", "'qddjzj', qddjzj FROM")}, a AS (SELECT vin, day_no, field, x FROM v UNION ALL SELECT vin, CAST(NULL AS INTEGER), field, x FROM v),
+ g AS (SELECT vin, day_no, field, count(*) AS n, list(x ORDER BY x) AS xs FROM a GROUP BY ALL)"""
+_AT = ", ".join(f"xs[CAST(greatest(ceil(CAST({p} AS DOUBLE) * n), 1) AS BIGINT)] AS {quantiles.column_name(p)}" for p in quantiles.PROBS)
+
+
+def _exact(spark, d):
+    """Groups of up to 200 values are never compressed: their percentiles are exact."""
+    return quantiles.percentiles(table(spark, d, "azkp_rows"), _AZKP).where("n <= 200").drop("rank_error")
+
+
+add("p7_small_groups", _exact, f"{_GROUPED} SELECT vin, day_no, field, n, {_AT} FROM g WHERE n <= 200")
 
 # ---- 8: packing (the boxes depend on the tokenizer; p8_check states what must hold of them)
 def _boxes(spark, d):
@@ -51,10 +62,16 @@ def _boxes(spark, d):
 add("p8_boxes", _boxes)
 add("p8_fill", lambda spark, d: packing.box_fill(_boxes(spark, d)))
 add("p8_check", lambda spark, d: packing.box_check(_boxes(spark, d)), "SELECT box_kind, (SELECT count(*) FROM documents) AS n_texts, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_badly_cut FROM token_boxes")
+add("p8_bound", lambda spark, d: packing.box_bound(_boxes(spark, d)), "SELECT box_kind, capacity_tokens, true AS within, true AS possible FROM token_boxes")
 
 # ---- 9: mixing
 add("p9_mix", lambda spark, d: mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
 add("p9_shares", lambda spark, d: mixing.mix_shares(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+add(
+    "p9_check",
+    lambda spark, d: mixing.mix_check(table(spark, d, "documents"), table(spark, d, "mix_targets")),
+    "SELECT lower(trim(source)) AS source, true AS share_kept, true AS repeats_kept, true AS schedule_kept FROM mix_targets",
+)
 
 # ---- 10: shared spans (SQL by enumerating every window; for the smaller scales)
 _WINDOWS = """WITH w AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS s FROM documents WHERE length(text) >= 200),

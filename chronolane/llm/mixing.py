@@ -19,6 +19,7 @@ from chronolane.session import written
 
 TILT = 0.5
 BUCKET_ROWS = 50_000
+GRID = 64  # times at which a mix is checked
 
 
 def tilted(shares: dict[str, float], tilt: float = TILT) -> dict[str, list[float]]:
@@ -139,3 +140,39 @@ def mix_shares(rows: DataFrame, targets: DataFrame, total_tokens: int | None = N
     full = named.join(sums, "source", "left").na.fill(0, ["mixed_tokens", "most_repeats"])
     total = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # a row per target
     return full.withColumn("actual_share", F.coalesce(F.col("mixed_tokens") / F.nullif(total, F.lit(0)), F.lit(0.0)))
+
+
+def mix_check(rows: DataFrame, targets: DataFrame, total_tokens: int | None = None, schedule=None, seed: int = 42, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(source, share_kept, repeats_kept, schedule_kept) per target, of the mix as drawn.
+
+    ``share_kept``: its tokens are what its reachable share asks for, but for one record. ``repeats_kept``: no record is drawn
+    twice with one ``repeat_no`` or more often than allowed, and none is skipped before a repeat. ``schedule_kept``: at each of
+    64 equally spaced times, the tokens drawn so far are its integrated schedule, but for one record.
+    """
+    sized = sized_records(rows, vocabulary)
+    drawn, plan = _mixed(sized, targets, total_tokens, schedule, seed)
+    drawn = written(drawn, "drawn")
+    cell = F.least(F.floor(F.col("position") * GRID), F.lit(GRID - 1)).cast("int")
+    cells = drawn.groupBy("source", cell.alias("cell")).agg(F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("m")).collect()  # 64 rows per target
+    uses = drawn.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("repeat_no").alias("d"), F.max("repeat_no").alias("last"))
+    bad = uses.groupBy("source").agg(F.count_if((F.col("n") != F.col("d")) | (F.col("last") + 1 != F.col("n"))).alias("bad"), F.max("n").alias("most")).collect()
+    bad_of = {r.source: (r.bad, r.most) for r in bad}
+    out = []
+    for s in plan.target:
+        mine = {r.cell: r for r in cells if r.source == s}
+        total, most = sum(r.t for r in mine.values()), max((r.m for r in mine.values()), default=0)
+        want = plan.share.get(s, 0.0) * plan.total
+        n_bad, repeats = bad_of.get(s, (0, 0))
+        kept, so_far = True, 0
+        if s in plan.share:
+            w = plan.weights[s]
+            knots = integrated(w)
+            for i in range(GRID):
+                so_far += mine[i].t if i in mine else 0
+                x = (i + 1) / GRID
+                j = min(int(x * (len(w) - 1)), len(w) - 2)
+                u = x - j / (len(w) - 1)
+                area = knots[j] + w[j] * u + (w[j + 1] - w[j]) * (len(w) - 1) * u * u / 2
+                kept = kept and abs(so_far - area / knots[-1] * want) <= most + 1e-6 * want
+        out.append((s, abs(total - want) <= most, n_bad == 0 and repeats <= plan.repeats[s], kept))
+    return rows.sparkSession.createDataFrame(out, "source string, share_kept boolean, repeats_kept boolean, schedule_kept boolean")

@@ -115,7 +115,8 @@ def pack(rows: DataFrame, boxes: DataFrame, vocabulary: str = VOCABULARY, shard_
     shards = max(1, math.ceil(sized.count() / shard_rows))
     # ids travel as text: a null among integers would turn them into floats
     placed = sized.select(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("string").alias("doc_id"), "n_tokens")
-    packed = placed.groupBy("shard").applyInPandas(_pack_shard(kinds), PLACED.replace("doc_id bigint", "doc_id string"))
+    # as many tasks as shards: they are small in bytes, long in work
+    packed = placed.repartition(shards, "shard").groupBy("shard").applyInPandas(_pack_shard(kinds), PLACED.replace("doc_id bigint", "doc_id string"))
     return packed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
@@ -135,3 +136,15 @@ def box_check(placed: DataFrame) -> DataFrame:
     needed = F.greatest(F.ceil(F.col("t") / F.col("capacity_tokens")), F.lit(1))
     cut = texts.groupBy("box_kind").agg(F.count("*").alias("n_texts"), F.count_if(F.col("p") != needed).alias("n_badly_cut"))
     return cut.join(over, "box_kind", "left").select("box_kind", "n_texts", F.coalesce("n_over", F.lit(0)).cast("bigint").alias("n_over"), "n_badly_cut")
+
+
+def box_bound(placed: DataFrame) -> DataFrame:
+    """Per kind whether the boxes used keep the guarantee of best-fit decreasing: 11/9 of the fewest possible, and one more per shard.
+
+    The fewest possible are at least the tokens over the capacity.
+    """
+    boxed = placed.where(F.col("box_id").isNotNull())
+    boxes = boxed.groupBy("box_kind", "capacity_tokens", "box_id").agg(F.sum("n_tokens").alias("t"))
+    sums = boxes.groupBy("box_kind", "capacity_tokens").agg(F.count("*").alias("n"), F.sum("t").alias("t"), F.countDistinct(F.shiftright("box_id", 32)).alias("shards"))
+    fewest = F.ceil(F.col("t") / F.col("capacity_tokens"))
+    return sums.select("box_kind", "capacity_tokens", (F.col("n") <= fewest * 11 / 9 + F.col("shards")).alias("within"), (F.col("n") >= fewest).alias("possible"))

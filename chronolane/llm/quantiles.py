@@ -24,6 +24,7 @@ EPSILON = 0.01
 PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 CHUNK_ROWS = 500_000
 FAN_IN = 64
+HELD_BYTES = 32 << 20  # of summaries merged at a time
 MONTH_DAYS = 32
 DAY_MS = 86_400_000
 INT_MARK = -2147483648  # fixed value: "no data" of an INT column
@@ -86,9 +87,17 @@ class Groups:
         return out
 
     def binary(self) -> list[pa.Array]:
-        offsets = np.r_[self.starts, len(self.v)].astype(np.int64) * 8
-        make = lambda x: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
-        return [make(self.v.astype("<f8")), make(self.lo.astype("<i8")), make(self.hi.astype("<i8"))]
+        """Packed tuples of each group. A group that kept all its values has the ranks 1 .. n, which need not be stored."""
+        whole = self.sizes == self.n
+        ranked = np.repeat(~whole, self.sizes)
+
+        def packed(x: np.ndarray, sizes: np.ndarray) -> pa.Array:
+            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64) * 8
+            made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+            return made.cast(pa.binary())
+
+        rest = np.where(whole, 0, self.sizes)
+        return [packed(self.v.astype("<f8"), self.sizes), packed(self.lo[ranked].astype("<i8"), rest), packed(self.hi[ranked].astype("<i8"), rest)]
 
 
 def of_sorted(v: np.ndarray, starts: np.ndarray, n: np.ndarray, share: float) -> Groups:
@@ -184,6 +193,13 @@ def _packed(t: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return data, np.diff(offsets) // 8
 
 
+def _full_ranks(stored: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The ranks of all tuples: those stored, and 1 .. n of groups that kept all their values."""
+    full = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    full[np.repeat(ranks > 0, sizes)] = stored
+    return full
+
+
 def _regroup(t: pa.Table, by: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Group number of each row, and a row of each group."""
     columns = []
@@ -204,8 +220,9 @@ def _regroup(t: pa.Table, by: list[str]) -> tuple[np.ndarray, np.ndarray, dict[s
 def _merge_table(t: pa.Table, by: list[str], level: str, share: float | None, probs, tuples: bool) -> tuple[pa.RecordBatch, pa.Table]:
     group, heads = _regroup(t, by)
     v, sizes = _packed(t, "vs", "<f8")
-    lo, _ = _packed(t, "los", "<i8")
+    lo, ranks = _packed(t, "los", "<i8")
     hi, _ = _packed(t, "his", "<i8")
+    lo, hi = _full_ranks(lo, sizes, ranks), _full_ranks(hi, sizes, ranks)
     groups = merge(v, lo, hi, sizes, t["n"].to_numpy(), group)
     if share is not None:
         groups = groups.compress(share)
@@ -214,13 +231,14 @@ def _merge_table(t: pa.Table, by: list[str], level: str, share: float | None, pr
     return _batch(level, keys, groups, probs, tuples)
 
 
-def _merging(steps: list[tuple[list[str], str, float | None, tuple | None, bool, int | None]]):
-    """Merges a partition's summaries step by step; each step works on the result of the step before and is put out."""
+def _merging(steps: list[tuple[list[str], str, float | None, tuple | None, bool, int | None]], whole: list[str]):
+    """Merges a partition's summaries step by step; each step works on the result of the step before and is put out.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
+    Rows come sorted, so that groups of ``whole`` columns (``_month`` is a row's month) are stretches of rows. About ``HELD_BYTES``
+    of them are merged at a time: a task holds that, and one group, whatever the size of its partition.
+    """
+
+    def merged(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
         for by, level, share, probs, tuples, days in steps:
             if days:
@@ -230,6 +248,31 @@ def _merging(steps: list[tuple[list[str], str, float | None, tuple | None, bool,
             yield b
             t = pa.Table.from_batches([b])
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [b.column(b.schema.get_field_index(k)) for k in whole]
+            first = tuple(k[0].as_py() for k in keys)
+            if held and size >= HELD_BYTES and first != last:
+                yield from merged(held)
+                held, size = [], 0
+            last = tuple(k[b.num_rows - 1].as_py() for k in keys)
+            if size + b.nbytes >= HELD_BYTES and first != last:
+                # the rows before the last group can be merged now
+                same = np.ones(b.num_rows, bool)
+                for k, v in zip(keys, last, strict=True):
+                    same &= np.array([x == v for x in k.to_pylist()])
+                cut = b.num_rows - int(np.argmin(same[::-1]))
+                yield from merged([*held, b.slice(0, cut)])
+                held, size = [], 0
+                b = b.slice(cut)
+            held.append(b)
+            size += b.nbytes
+        if held:
+            yield from merged(held)
+
     return scan
 
 
@@ -256,16 +299,19 @@ def summaries(rows: DataFrame, fields: list[str], epsilon: float = EPSILON, prob
     keyed = rows.where(F.col("vin").isNotNull() & F.col("ts").isNotNull()).select("vin", day, *[_number(rows, f) for f in fields])
     local = keyed.mapInArrow(_summarise(fields, share, chunk_rows), SUMMARY)
     for _ in range(extra):
-        local = local.withColumn("chunk", F.expr(f"chunk div {fan_in}").cast("int")).repartition("vin", "day_no", "field", "chunk")
-        local = local.mapInArrow(_merging([(["vin", "day_no", "field", "chunk"], "part", share, None, True, None)]), SUMMARY)
+        by = ["vin", "day_no", "field", "chunk"]
+        local = local.withColumn("chunk", F.expr(f"chunk div {fan_in}").cast("int")).repartition(*by).sortWithinPartitions(*by)
+        local = local.mapInArrow(_merging([(by, "part", share, None, True, None)], by), SUMMARY)
     steps = [(["vin", "day_no", "field"], "day", share, probs, True, None), (["vin", "day_no", "field"], "month", share, None, True, MONTH_DAYS)]
-    placed = local.repartition(F.col("vin"), F.expr(f"floor(day_no / {MONTH_DAYS})"), F.col("field"))
-    return placed.mapInArrow(_merging(steps), SUMMARY)
+    whole = ["vin", "_month", "field"]
+    placed = local.withColumn("_month", F.expr(f"floor(day_no / {MONTH_DAYS})").cast("int")).repartition(*whole).sortWithinPartitions(*whole)
+    return placed.mapInArrow(_merging(steps, whole), SUMMARY)
 
 
 def combine(months: DataFrame, probs: tuple[float, ...] = PROBS) -> DataFrame:
     """One summary per (vin, field) of summaries of any days (level 'vin')."""
-    return months.repartition("vin", "field").mapInArrow(_merging([(["vin", "field"], "vin", None, probs, True, None)]), SUMMARY)
+    whole = ["vin", "field"]
+    return months.repartition(*whole).sortWithinPartitions(*whole).mapInArrow(_merging([(whole, "vin", None, probs, True, None)], whole), SUMMARY)
 
 
 def column_name(p: float) -> str:
