@@ -96,3 +96,11 @@ add(
     "SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(n_passages, 0) AS n_passages, "
     "round(coalesce(shared_chars / nullif(length(text), 0), 0.0), 6) AS shared_share FROM documents LEFT JOIN k USING (doc_id)",
 )
+add(
+    "p10_links",
+    lambda spark, d: spans.sharing_links(table(spark, d, "documents")),
+    f"{_WINDOWS}, c AS (SELECT text, min(doc_id) AS class_id, count(*) AS n_copies FROM documents WHERE length(text) >= 200 GROUP BY text), "
+    "k AS (SELECT DISTINCT m.g, c.class_id FROM m JOIN documents d USING (doc_id) JOIN c ON c.text = d.text), "
+    "l AS (SELECT a.class_id, count(DISTINCT b.class_id) AS n_links FROM k a JOIN k b USING (g) WHERE a.class_id <> b.class_id GROUP BY a.class_id) "
+    "SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links FROM documents d LEFT JOIN c USING (text) LEFT JOIN l ON l.class_id = c.class_id",
+)

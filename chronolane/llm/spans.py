@@ -1,14 +1,18 @@
-"""Long exact spans shared between records, by a de Bruijn graph over sampled k-mers.
-
-Tokens are minimizers: of every ``WINDOW`` consecutive ``GRAM``-character k-mers the least hash, so that any shared span of
-``MIN_SPAN`` = WINDOW + GRAM - 1 characters holds a k-mer sampled in both records. K-mers found in one text only are dropped;
-the rest are the nodes of the graph, consecutive overlapping ones its edges. Nonbranching paths are compacted: node statistics
-(one aggregation, one join) tell which links every occurrence has in common, and each text then cuts its own node list at the
-branches, so every path is walked from end to end wherever one of its nodes occurs - no iteration is needed.
-
-A path is verified at its source coordinates: paths of at least MIN_SPAN by a 128-bit digest of the characters, shorter ones by
-two 64-bit hashes of each MIN_SPAN-character window around them. Equal texts are one class with a representative; they are
-expanded at the end.
+"""Long exact spans shared between records, by a de Bruijn graph over content-defined tokens.
+
+A text is cut into tokens at minimizers: of every ``WINDOW`` consecutive ``GRAM``-character k-mers the least hash. A token is
+known by its k-mer and the distance to the next, so it depends on content alone, and any shared span of ``MIN_SPAN`` = WINDOW +
+GRAM - 1 characters holds a k-mer cut in both records, whatever words or script it is in. K-mers of one text only are dropped;
+the rest are the graph's nodes, two following ones its edges. An edge doesn't branch if all occurrences of its first node go on
+to its second, at the same distance, and all of the second come from the first; that is counted over all texts (one aggregation)
+and joined back to the occurrences (one join). A nonbranching path is the same in every text it occurs in, from end to end, so
+each text cuts its own nodes into paths at the branches; following paths from node to node by repeated joins would find the
+same paths in as many rounds as the logarithm of the longest.
+
+A path is verified at its source coordinates, by a 128-bit cryptographic digest (BLAKE2b) of the characters there: of the whole
+path if it is at least MIN_SPAN long, else of each MIN_SPAN-character window around it. Equal texts are one class with a
+representative; they are expanded at the end. What is shuffled are coordinates and digests; of the texts, once, those that hold
+a path.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from chronolane.session import written
 MIN_SPAN = 200
 GRAM = 100
 WINDOW = MIN_SPAN - GRAM + 1
+PAIR_BLOCK = 1000  # members of a group paired in one task, twice that with the other block
 PIECE = 1 << 20  # characters of a batch hashed at once; a longer text is hashed alone
 LOW = np.uint64((1 << 24) - 1)
 SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -108,6 +113,13 @@ def scan_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
+def digests(points: np.ndarray, pos: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Two 64-bit words for each span of characters."""
+    raw = memoryview(points.tobytes())
+    made = [hashlib.blake2b(raw[4 * p : 4 * (p + n)], digest_size=16).digest() for p, n in zip(pos.tolist(), length.tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+
+
 def _span_scan(edges: bool):
     """Of each text, the content keys of its paths: (rep, pos, len, key1, key2).
 
@@ -131,8 +143,7 @@ def _span_scan(edges: bool):
                 pos, length = np.array(at, np.int64), np.array(lens, np.int64)
                 long = length >= MIN_SPAN
                 if long.any():
-                    made = [hashlib.blake2b(points[p : p + n].tobytes(), digest_size=16).digest() for p, n in zip(pos[long].tolist(), length[long].tolist(), strict=True)]
-                    k = np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+                    k = digests(points, pos[long], length[long])
                     out.append((np.full(len(k), rep, np.int64), pos[long], length[long], k[:, 0], k[:, 1]))
                 a, z = windows(pos, length)
                 a, z = np.maximum(a, 0), np.minimum(z, len(points) - MIN_SPAN)
@@ -142,8 +153,8 @@ def _span_scan(edges: bool):
                     np.add.at(mark, a[ok], 1)
                     np.add.at(mark, z[ok] + 1, -1)
                     w = np.flatnonzero(np.cumsum(mark)[: len(points) - MIN_SPAN + 1] > 0)
-                    one, two = window_hashes(points, MIN_SPAN, 0)[w], window_hashes(points, MIN_SPAN, 1)[w]
-                    out.append((np.full(len(w), rep, np.int64), w, np.full(len(w), MIN_SPAN, np.int64), one.view(np.int64), two.view(np.int64)))
+                    k = digests(points, w, np.full(len(w), MIN_SPAN))
+                    out.append((np.full(len(w), rep, np.int64), w, np.full(len(w), MIN_SPAN, np.int64), k[:, 0], k[:, 1]))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], names=["rep", "pos", "len", "key1", "key2"])
@@ -183,8 +194,9 @@ def compacted_paths(kmers: DataFrame) -> DataFrame:
 
 def shared_keys(rows: DataFrame, classes: DataFrame, edges: bool) -> DataFrame:
     """(rep, pos, len, key1, key2): verified spans that occur in several different texts."""
-    texts = rows.select(F.col("doc_id").alias("rep"), "text").join(classes.where("doc_id = rep").select("rep"), "rep")
-    kmers = written(texts.mapInArrow(scan_kmers, "rep bigint, pos int, h bigint"), "kmers")
+    texts = rows.select(F.col("doc_id").alias("rep"), "text").where(F.char_length("text") >= MIN_SPAN)
+    copies = classes.where("doc_id <> rep").select(F.col("doc_id").alias("rep"))
+    kmers = written(texts.mapInArrow(scan_kmers, "rep bigint, pos int, h bigint").join(copies, "rep", "left_anti"), "kmers")
     walks = compacted_paths(kmers).groupBy("rep").agg(F.collect_list(F.struct("pos", "len")).alias("w"))  # of one text
     walks = walks.select("rep", F.col("w.pos").alias("at"), F.col("w.len").alias("lens"))
     spans = texts.join(walks, "rep").select("rep", "text", "at", "lens").mapInArrow(_span_scan(edges), "rep bigint, pos int, len int, key1 bigint, key2 bigint")
@@ -193,25 +205,41 @@ def shared_keys(rows: DataFrame, classes: DataFrame, edges: bool) -> DataFrame:
     return written(spans.join(several, ["key1", "key2"]), "shared")
 
 
-def _pairs(members: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs of the members of each group, smaller first; what TESTDATA asks for is every pair."""
-    a, b = members.select(*by, F.col("rep").alias("a")), members.select(*by, F.col("rep").alias("b"))
-    return a.join(b, by).where("a < b").select("a", "b")
+def _pairs(members: DataFrame, by: list[str], block_rows: int = PAIR_BLOCK) -> DataFrame:
+    """(a, b): pairs of the members of each group, a < b; what TESTDATA asks for is every pair, each group gives each once.
+
+    A group is cut into blocks of about ``block_rows`` members by hash, and every two blocks meet in a task of their own, so a
+    group that holds a third of all rows is paired by many.
+    """
+    sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
+    placed = members.join(sizes, by).withColumn("_mine", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
+    met = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select(*by, "rep", "_mine", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"))
+    a, b = (met.withColumnsRenamed({"rep": n, "_mine": f"_{n}"}) for n in ("a", "b"))
+    # two members of one block meet where it meets itself
+    return a.join(b, [*by, "_i", "_j"]).where((F.col("a") < F.col("b")) & ((F.col("_i") == F.col("_j")) | (F.col("_a") != F.col("_b")))).select("a", "b")
+
+
+def sharing_texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of different texts, by representative, with MIN_SPAN consecutive characters in common.
+
+    Groups of texts met through several keys are paired once: keys with the same set of texts (two order-free fingerprints and
+    the size) are represented by one.
+    """
+    members = shared_keys(rows, classes, edges=False).select("key1", "key2", "rep").distinct()
+    sets = members.groupBy("key1", "key2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    one = sets.groupBy("n", "x", "y").agg(F.min(F.struct("key1", "key2")).alias("k")).select("k.key1", "k.key2")
+    return _pairs(members.join(one, ["key1", "key2"]), ["key1", "key2"]).distinct()
 
 
 def sharing_pairs(rows: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b): different records, smaller id first, with MIN_SPAN consecutive characters in common.
 
-    Null, empty and shorter texts share nothing. Groups of texts met through several keys are paired once: keys with the same
-    set of texts (two order-free fingerprints and the size) are represented by one. ``doc_id`` is unique. An empty table
-    gives no rows.
+    Null, empty and shorter texts share nothing. ``doc_id`` is unique. An empty table gives no rows.
     """
     texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     classes = text_classes(texts)
-    members = shared_keys(texts, classes, edges=False).select("key1", "key2", "rep").distinct()
-    sets = members.groupBy("key1", "key2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    one = sets.groupBy("n", "x", "y").agg(F.min(F.struct("key1", "key2")).alias("k")).select("k.key1", "k.key2")
-    between = _pairs(members.join(one, ["key1", "key2"]), ["key1", "key2"]).distinct()
+    between = sharing_texts(texts, classes)
     left, right = classes.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), classes.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
     across = between.join(left, "a").join(right, "b").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
     copies = classes.join(classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep"), "rep").select(F.col("rep").alias("g"), F.col("doc_id").alias("rep"))
@@ -219,6 +247,22 @@ def sharing_pairs(rows: DataFrame) -> DataFrame:
     return across.unionByName(inside)
 
 
+def sharing_links(rows: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links) of every record: its class of equal texts and how many other classes it shares a span with.
+
+    A text shorter than MIN_SPAN, empty or null is a class of its own without links. The form for corpora with many copies, whose
+    pairs would be too many to list.
+    """
+    texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    classes = text_classes(texts)
+    between = written(sharing_texts(texts, classes), "links")
+    degree = between.select(F.col("a").alias("rep")).unionByName(between.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    sizes = classes.groupBy("rep").agg(F.count("*").alias("n_copies")).join(degree, "rep", "left")
+    known = classes.join(sizes, "rep").select("doc_id", F.col("rep").alias("class_id"), "n_copies", "n_links")
+    full = texts.select("doc_id").join(known, "doc_id", "left")
+    return full.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def shared_passages(rows: DataFrame) -> DataFrame:
     """(doc_id, char_from, char_to): maximal stretches of each record covered by spans that another record holds too.
 

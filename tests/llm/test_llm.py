@@ -298,3 +298,79 @@ def test_window_hashes_depend_on_content_only():
     ha, hb = spans.window_hashes(a, 200), spans.window_hashes(b, 200)
     assert (ha[1234 : 1234 + 567] == hb[:567]).all() and (ha[:701] == hb[816:]).all()
     assert len(np.unique(ha)) == len(ha)
+
+
+def test_pairs_of_a_hot_group_meet_once(spark):
+    members = [("hot", i) for i in range(57)] + [("two", 3), ("two", 9), ("one", 4)]
+    df = spark.createDataFrame(members, "k string, rep bigint")
+    got = sorted((r.a, r.b) for r in spans._pairs(df, ["k"], block_rows=10).collect())
+    assert got == sorted([(i, j) for i in range(57) for j in range(i + 1, 57)] + [(3, 9)])
+
+
+def test_a_template_in_many_records(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    template, rows = word(260), []
+    for i in range(90):
+        rows.append((i, word(50) + (template if i % 3 == 0 else word(150)) + word(20), "x"))
+    rows += [(90 + i, rows[0][1], "x") for i in range(5)] + [(99, None, "x"), (98, "short", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, rep string")
+    held = [i for i, t, _ in rows if t and template in t]
+    got = {tuple(r) for r in spans.sharing_pairs(df).collect()}
+    assert got == {(a, b) for a in held for b in held if a < b}
+    links = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in spans.sharing_links(df).collect()}
+    assert len(links) == len(rows) and links[0] == links[94] == (0, 6, 29) and links[3] == (3, 1, 29) and links[1] == (1, 1, 0) and links[99] == (99, 1, 0)
+
+
+def test_digests_are_of_the_characters(spark):
+    p = spans._points("aé字🙂" * 100)
+    k = spans.digests(p, np.array([0, 4, 1]), np.array([200, 200, 200]))
+    assert (k[0] == k[1]).all() and (k[0] != k[2]).any()
+
+
+# ---- 7 and 8 at their bounds
+def test_merging_in_small_stretches(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(rng.choice([HOT, HOT, "b", f"v{rng.randrange(30)}"]), rng.randrange(90 * 86_400_000), rng.randrange(10**6), rng.gauss(0, 1), 1, "x") for _ in range(4000)]
+    df = spark.createDataFrame(rows, AZ).repartition(7)
+    key = lambda r: (r.vin, r.day_no is not None, r.day_no or 0, r.field)
+    want = sorted(quantiles.percentiles(df, ["a", "d"], fan_in=3, chunk_rows=500).collect(), key=key)
+    real = quantiles._merging
+    monkeypatch.setattr(quantiles, "_merging", lambda steps, whole: _small(real, steps, whole))
+    got = sorted(quantiles.percentiles(df, ["a", "d"], fan_in=3, chunk_rows=500).collect(), key=key)
+    assert [(key(r), r.n) for r in got] == [(key(r), r.n) for r in want] and all(r.rank_error <= 0.01 * r.n for r in got)
+    small = [r for r in got if r.n <= 200]
+    assert small and small == [r for r in want if r.n <= 200]
+
+
+def _small(real, steps, whole):
+    """The same merging, a few hundred bytes at a time."""
+
+    def scan(batches):
+        from chronolane.llm import quantiles as q
+
+        q.HELD_BYTES = 300
+        yield from real(steps, whole)(batches)
+
+    return scan
+
+
+def test_whole_groups_send_no_ranks():
+    v = np.array([1.0, 2.0, 2.0, 5.0, 7.0])
+    g = quantiles.of_sorted(v, np.array([0, 3]), np.array([3, 2]), 0.01)
+    vs, los, his = g.binary()
+    assert [len(x.as_py()) for x in vs] == [24, 16] and [len(x.as_py()) for x in los] == [0, 0] and [len(x.as_py()) for x in his] == [0, 0]
+    big = np.arange(1000.0)
+    g = quantiles.of_sorted(np.r_[big, v[:3]], np.array([0, 1000]), np.array([1000, 3]), 0.1)
+    ranks = np.array([len(x.as_py()) // 8 for x in g.binary()[1]])
+    lo = quantiles._full_ranks(np.frombuffer(g.binary()[1][0].as_py(), np.int64), g.sizes, ranks)
+    assert (lo == g.lo).all()
+
+
+def test_shards_are_tasks(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('word ', cast(id % 9 + 1 AS int)) AS text")
+    boxes = spark.createDataFrame([("s", 64)], "box_kind string, capacity_tokens int")
+    placed = packing.pack(docs, boxes, shard_rows=20)
+    assert placed.rdd.getNumPartitions() == 15
+    bound = packing.box_bound(placed).collect()
+    assert [(r.box_kind, r.within, r.possible) for r in bound] == [("s", True, True)]
