@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from chronolane.functions import finite
 
 HOUR_MS = 3_600_000
+PIECE = 1024  # cells of a stretch made from one row
 
 
 def _cell(ts: Column, step: int) -> Column:
@@ -35,13 +36,15 @@ def validity_intervals(rows: DataFrame, value: str, arrival: str | None = None)
     return once.withColumn("_in", inside).join(follow, ["vin", "_hour"]).select("vin", "ts", F.coalesce("_in", "_follow").alias("ts_next"), "v")
 
 
-def regular_grid(rows: DataFrame, value: str, step_ms: int = 60_000, hold_ms: int = 300_000, arrival: str | None = None) -> DataFrame:
+def regular_grid(rows: DataFrame, value: str, step_ms: int = 60_000, hold_ms: int = 300_000, arrival: str | None = None, longest_gap: int | None = None) -> DataFrame:
     """One row per source and cell from its first to its last usable reading.
 
     Columns: ``vin, slot_ts``, ``n_readings``, ``value`` (time-weighted average over the covered part, null if none),
     ``coverage`` (covered fraction of the cell), ``status`` ('measured', 'filled' from a held reading, 'missing') and
     ``gap_slots`` (number of consecutive cells without a reading that the cell is one of; 0 with a reading). Null, NaN and
     infinite values are not usable; rows with a null vin or ts are ignored; a source without usable readings has no rows.
+    Cells of stretches of more than ``longest_gap`` without a reading are left out, before they are made. A long stretch (one
+    wrong time can make it years) is made in pieces of bounded size.
     """
     spans = validity_intervals(rows, value, arrival)
     first = _cell(F.col("ts"), step_ms)
@@ -49,10 +52,13 @@ def regular_grid(rows: DataFrame, value: str, step_ms: int = 60_000, hold_ms: in
     until = F.when(last_of_all, first).otherwise(_cell(F.col("ts_next") - 1, step_ms))
     nxt = _cell(F.col("ts_next"), step_ms)
     ends = F.when(last_of_all, F.least(F.col("ts") + hold_ms, first + step_ms)).otherwise(F.least(F.col("ts") + hold_ms, F.col("ts_next")))
-    cells = spans.select(
-        "vin", "ts", "v", first.alias("_first"), nxt.alias("_next"), ends.alias("_end"),
-        F.explode(F.sequence(first, until, F.lit(step_ms).cast("bigint"))).alias("slot_ts"),
-    )
+    wanted = spans.select("vin", "ts", "v", first.alias("_first"), nxt.alias("_next"), until.alias("_until"), ends.alias("_end"))
+    if longest_gap is not None:
+        long = (F.col("_next") - F.col("_first")) / step_ms - 1 > longest_gap
+        wanted = wanted.withColumn("_until", F.when(long, F.col("_first")).otherwise(F.col("_until")))
+    step, piece = F.lit(step_ms).cast("bigint"), F.lit(step_ms * PIECE).cast("bigint")
+    pieces = wanted.withColumn("_from", F.explode(F.sequence("_first", "_until", piece)))
+    cells = pieces.withColumn("slot_ts", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + piece - step, F.col("_until")), step)))
     weight = F.greatest(F.least("_end", F.col("slot_ts") + step_ms) - F.greatest("ts", "slot_ts"), F.lit(0))
     between = (F.col("slot_ts") > F.col("_first")) & (F.col("slot_ts") < F.col("_next"))
     gap = F.when(between, ((F.col("_next") - F.col("_first")) / step_ms).cast("bigint") - 1).otherwise(0)
@@ -66,6 +72,7 @@ def regular_grid(rows: DataFrame, value: str, step_ms: int = 60_000, hold_ms: in
     )
 
 
-def missing_slots(grid: DataFrame, absence_slots: int = 1440) -> DataFrame:
+def missing_slots(rows: DataFrame, value: str, step_ms: int = 60_000, arrival: str | None = None, absence_slots: int = 1440) -> DataFrame:
     """(vin, slot_ts) of cells without a usable reading; stretches of ``absence_slots`` and more are left out."""
-    return grid.where((F.col("n_readings") == 0) & (F.col("gap_slots") < absence_slots)).select("vin", "slot_ts")
+    grid = regular_grid(rows, value, step_ms, arrival=arrival, longest_gap=absence_slots - 1)
+    return grid.where(F.col("n_readings") == 0).select("vin", "slot_ts")

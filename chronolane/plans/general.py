@@ -111,7 +111,7 @@ def _grid(spark, d):
     return grid.regular_grid(table(spark, d, "pulse_rows"), "soc", arrival="recv_at")
 
 
-add("p6_found", lambda spark, d: grid.missing_slots(_grid(spark, d)), f"{_GRID} SELECT vin, slot_ts FROM g WHERE n_readings = 0 AND gap_slots < 1440")
+add("p6_found", lambda spark, d: grid.missing_slots(table(spark, d, "pulse_rows"), "soc", arrival="recv_at"), f"{_GRID} SELECT vin, slot_ts FROM g WHERE n_readings = 0 AND gap_slots < 1440")
 add(
     "p6_grid",
     lambda spark, d: _grid(spark, d).withColumns({"value": F.round("value", 9), "coverage": F.round("coverage", 9)}),

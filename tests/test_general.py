@@ -405,8 +405,16 @@ def test_grid(spark):
         assert (r.n_readings, r.coverage) == (n, pytest.approx(w)) and (r.value is None if x is None else r.value == pytest.approx(x))
         assert r.status == ("measured" if n else "filled" if w else "missing")
     empty = {k for k, (n, _, _) in want.items() if not n}
-    assert {tuple(r) for r in grid.missing_slots(grid.regular_grid(df, "soc", arrival="recv_at"), 10**9).collect()} == empty
-    few = {tuple(r) for r in grid.missing_slots(grid.regular_grid(df, "soc", arrival="recv_at"), 60).collect()}
+    assert {tuple(r) for r in grid.missing_slots(df, "soc", arrival="recv_at", absence_slots=10**9).collect()} == empty
+    few = {tuple(r) for r in grid.missing_slots(df, "soc", arrival="recv_at", absence_slots=60).collect()}
     runs = {k for k in empty if got[k].gap_slots < 60}
     assert few == runs and 0 < len(few) < len(empty)
     assert grid.regular_grid(df.limit(0), "soc").count() == 0
+
+
+def test_one_wrong_time_makes_no_giant_row(spark):
+    far = 400 * 365 * DAY
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 180_000, 2.0), ("a", 180_000 + 5000 * 60_000, 2.0), ("b", 0, 1.0), ("b", far, 1.0)], "vin string, ts bigint, soc double")
+    got = grid.missing_slots(df, "soc").collect()
+    assert sorted((r.vin, r.slot_ts) for r in got) == [("a", 60_000), ("a", 120_000)]
+    assert grid.regular_grid(df.where("vin = 'a'"), "soc").where("n_readings = 0").count() == 2 + 4999
