@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from chronolane.functions import finite
 from chronolane.operators.ordered import DAY_MS, arrival_cuts, arrival_slices
-from chronolane.session import scratch_path, written
+from chronolane.session import scratch_path
 from chronolane.sources import files
 from chronolane.sources.versions import Versions, fresh_name, sweep
 
@@ -27,7 +27,7 @@ MEASURES = {"rlxhl": "bigint", "zdl": "double"}
 AMOUNTS = {"n": "bigint", **{f"{p}_{m}": k if p == "sum" else "bigint" for m, k in MEASURES.items() for p in ("sum", "cnt")}}
 TOTALS = {f"{a}_{p}": k for p in REACH for a, k in AMOUNTS.items()}
 STATE = "vin string, day_no int, " + ", ".join(f"{c} {k}" for c, k in TOTALS.items())
-SEEN = "vin string, day_no int, h1 bigint, h2 bigint"
+SEEN = "vin string, ts bigint, h bigint"
 BLOCK_DAYS, FOLDERS = 32, 1024  # dates of a folder; blocks are counted around, so any date has a folder
 PIECE = 1024  # days of a long gap made by one generated row
 
@@ -40,20 +40,34 @@ def _folder(day: Column) -> Column:
     return F.pmod(F.floor(day / F.lit(float(BLOCK_DAYS))), F.lit(FOLDERS)).cast("int")
 
 
-def distinct_rows(rows: DataFrame, arrival: str | None = None) -> DataFrame:
-    """(vin, day_no, h1, h2, measures): rows alike in all but ``arrival`` once, known by 128 bits of hash of all other columns.
+def _day() -> Column:
+    return F.floor(F.col("ts") / F.lit(float(DAY_MS))).cast("int")
 
-    Null vin or ts: ignored. Null, NaN and infinite cells are no values. Copies are reduced before the shuffle, and what is
-    shuffled is a few numbers a row, spread by hash, however hot an entity or a day is.
+
+def identified(rows: DataFrame, arrival: str | None = None) -> DataFrame:
+    """(vin, ts, h, measures): rows known by entity, time and a 64-bit hash of all columns but ``arrival``.
+
+    Null vin or ts: ignored. Null, NaN and infinite cells are no values.
     """
     rest = [c for c in rows.columns if c != arrival]
     # a null is told from any value and from a null in another column
     cells = [x for i, c in enumerate(rest) for x in (F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNull(), F.lit(i)))]
-    day = F.floor(F.col("ts") / F.lit(float(DAY_MS))).cast("int").alias("day_no")
     values = [(F.col(m).cast("bigint") if k == "bigint" else finite(F.col(m))).alias(m) for m, k in MEASURES.items()]
     keyed = rows.where(F.col("vin").isNotNull() & F.col("ts").isNotNull())
-    keyed = keyed.select("vin", day, F.xxhash64(*cells).alias("h1"), F.xxhash64(F.lit(7), *reversed(cells)).alias("h2"), *values)
-    return keyed.groupBy("vin", "day_no", "h1", "h2").agg(*[F.max(m).alias(m) for m in MEASURES])
+    return keyed.select("vin", F.col("ts").cast("bigint").alias("ts"), F.xxhash64(*cells).alias("h"), *values)
+
+
+def distinct_rows(came: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Identified rows once each, those without that were ``seen`` (vin, ts, h) before.
+
+    One aggregation: copies are reduced before the shuffle, and a few numbers a row are shuffled, spread by hash, however hot
+    an entity or a day is.
+    """
+    rows = came.withColumn("_old", F.lit(False))
+    if seen is not None:
+        rows = rows.unionByName(seen.select("vin", "ts", "h", F.lit(True).alias("_old")), allowMissingColumns=True)
+    once = rows.groupBy("vin", "ts", "h").agg(*[F.max(m).alias(m) for m in MEASURES], F.max("_old").alias("_old"))
+    return once.where(~F.col("_old")).drop("_old").withColumn("day_no", _day())
 
 
 def daily_amounts(distinct: DataFrame) -> DataFrame:
@@ -115,21 +129,18 @@ class RollingTable:
         rewritten. Rows that a former batch brought already count for nothing. If another writer was faster, its version is
         joined instead.
         """
-        came, kept = distinct_rows(batch, arrival), False
+        came = identified(batch, arrival)
         while True:
             number, state = self.versions.read()
             totals, seen = state.get("totals", {}), state.get("seen", {})
-            write = fresh_name("r")
-            if seen:
-                came, kept = (came if kept else written(came, "arrivals")), True
-                days = {str(r[0]) for r in came.select(_folder(F.col("day_no"))).distinct().collect()}  # at most FOLDERS
-            new = came
+            write, before = fresh_name("r"), None
             if seen:
-                new = came.join(self._scan("seen", SEEN, seen, days), ["vin", "day_no", "h1", "h2"], "left_anti")
-            fresh_in = self._keep(new.select("vin", "day_no", "h1", "h2", *MEASURES), "seen", write)
+                days = {str(r[0]) for r in came.select(_folder(_day())).distinct().collect()}  # at most FOLDERS
+                before = self._scan("seen", SEEN, seen, days)
+            fresh_in = self._keep(distinct_rows(came, before), "seen", write)
             if not fresh_in:
                 return number
-            fresh = self.spark.read.schema(f"{SEEN}, " + ", ".join(f"{m} {k}" for m, k in MEASURES.items())).parquet(f"{self.path}/seen/_write={write}")
+            fresh = self.spark.read.schema(f"{SEEN}, day_no int, " + ", ".join(f"{m} {k}" for m, k in MEASURES.items())).parquet(f"{self.path}/seen/_write={write}")
             moved = entered(daily_amounts(fresh))
             # an amount reaches the next 29 dates, so at most the block after its own
             reached = fresh_in | {str((int(d) + 1) % FOLDERS) for d in fresh_in}
